@@ -109,8 +109,8 @@ ORACLE_SQL = {
         from d left join m on m.payload_digest = d.payload_digest and payload_bytes >= 1000""",
     "op5_exact_topk": """
         with ok as (
-            select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as q from embeddings
-            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
             select a.vec_id as query_id, b.vec_id, list_inner_product(a.q::double[], b.q::double[])::bigint as score
             from ok a join ok b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
