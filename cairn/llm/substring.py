@@ -9,8 +9,8 @@ those that two different word sequences have go on. For these, the stretch of a
 anchor is sent to the anchor's shard. There the stretches stream in doc_id order past a generalised suffix
 automaton of the stretches before them: matching statistics of ``window`` or more mark words, and a
 stretch with anything new is added. An anchor's shard is bounded by ``HOT`` word sequences; the windows of anchors
-above that are each a reference of their own (a window's key is 128 bits of its words' hashes, the reference
-its smallest doc_id, a partial aggregate), so a passage that a third of the corpus shares
+above that, in content-defined chunks of some eight and then singly, are each a reference of their own (the key is 128 bits of the
+words' hashes, the reference its smallest doc_id, a partial aggregate), so a passage that a third of the corpus shares
 is met by a join that adaptive execution splits, not by one task. The automata are not broadcast:
 the reference is the corpus, so a broadcast has no bound; each shard's automaton meets only the stretches with its anchor.
 
@@ -34,6 +34,8 @@ from cairn.llm.common import Scratch, Words, grams, n_parts, pack_by, ranges_has
 WINDOW = 50
 GRAM = 8
 HOT = 128
+#: A chunk of windows ends where these bits of a window's hash are 0: every eighth on average.
+CHUNK = 7
 _U = np.uint64
 _B1, _B2 = 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25
 
@@ -126,16 +128,36 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT, scra
 
     cold = pieces.where("not hot").select("m", "doc_id", "at", "words").repartition(parts, "m").sortWithinPartitions("m", "doc_id", "at")
     found = scratch.save(cold.mapInArrow(lambda b: _match(b, window), "doc_id long, lo int, hi int"), "cold")
-    keyed = pieces.where("hot").select("m", "m2", "doc_id", "at")
-    least = scratch.save(keyed.groupBy("m", "m2").agg(F.min("doc_id").alias("least")), "least")
-    warm = keyed.join(least, ["m", "m2"]).where("doc_id > least").select("doc_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
+    # Above HOT: whole chunks of windows first, then the windows of the chunks that no smaller document has.
+    runs = pieces.where("hot").select("m", "m2", "doc_id", "at", "n", "words")
+    runs = scratch.save(runs.join(_least(scratch, runs, "least"), ["m", "m2"]), "runs")
+    warm = runs.where("doc_id > least").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (window - 1)).alias("hi"))
+    keyed = runs.where("doc_id = least and n > 1").select("doc_id", "at", "words").mapInArrow(_windows, "m long, m2 long, doc_id long, at int")
+    single = keyed.union(runs.where("doc_id = least and n = 1").select("m", "m2", "doc_id", "at"))
+    single = scratch.save(single, "single")
+    warm = warm.union(single.join(_least(scratch, single, "least1"), ["m", "m2"]).where("doc_id > least").select("doc_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
     ranges = scratch.save(found.union(warm).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    for t in ("seqs", "firsts", "spots", "pieces", "cold", "least"):
+    for t in ("seqs", "firsts", "spots", "pieces", "cold", "least", "least1", "runs", "single"):
         scratch.drop(t)
     out = docs.join(ranges, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     return out.mapInArrow(lambda b: _kept(b, window), "doc_id long, kept string, n_words long, n_removed long")
 
 
+def _least(scratch, keyed, name):
+    """(m, m2, least): the smallest doc_id of each key, as a table, so that the join that follows can split hot keys."""
+    return scratch.save(keyed.groupBy("m", "m2").agg(F.min("doc_id").alias("least")), name)
+
+
+def _windows(batches):
+    """The windows of chunks, whose keys lie packed in ``words``."""
+    for b in batches:
+        raw = b.column("words").to_pylist()
+        n = np.array([len(x) // 16 for x in raw])
+        k = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+        at = np.repeat(b.column("at").to_numpy(), n) + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        yield rows_out(["m", "m2", "doc_id", "at"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], [k[:, 0].copy(), k[:, 1].copy(), np.repeat(b.column("doc_id").to_numpy(), n), at.astype(np.int32)])
+
+
 def _sequences(batches):
     for b in batches:
         seq, n = [], []
@@ -235,7 +257,11 @@ def _pieces(batches, window):
                     if a + n + window - 1 > int(w.first[i + 1]):
                         continue  # a row with the same doc_id and another text
                     if s["hot"]:
-                        rows += [(True, int(h1[x]), int(h2[x]), doc, x - first, 1, None) for x in range(a, a + n)]
+                        # Content-defined chunks: equal stretches are cut alike.
+                        cuts = np.concatenate([[a], a + np.flatnonzero((h1[a + 1 : a + n] & CHUNK) == 0) + 1, [a + n]])
+                        c1, c2 = (ranges_hash(h, cuts[:-1], cuts[1:] + window - 1, x).view(np.int64) for x in (_B1, _B2))
+                        for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                            rows.append((True, int(c1[k]), int(c2[k]), doc, x - first, y - x, np.stack([h1[x:y], h2[x:y]], 1).tobytes()))
                     else:
                         rows.append((False, s["m"], 0, doc, s["at"], n, b" ".join(raw[w.start[a] : w.end[a + n + window - 2]].split())))
             if len(rows) > 5000:
