@@ -13,7 +13,7 @@ candidates; only sets that are alike nearly everywhere meet. Signatures are shuf
 arrays and give star links, whose components are the candidate clusters.
 
 A cluster's members of a band, and those of the band below that are large enough, form a tile; tiles of over ``BLOCK``
-members are cut into pairs of blocks. In a tile a set is compared with those not yet
+members or ``BLOCK_GRAMS`` elements are cut into pairs of blocks. In a tile a set is compared with those not yet
 connected to it: a bitmap of hashed elements bounds the overlap from above, and what may still
 reach the threshold is settled by intersecting the sorted arrays. Only links that join two
 groups are kept, which loses no component.
@@ -37,8 +37,8 @@ from cairn.llm.common import Scratch, Words, components, grams, mix, n_parts, pa
 
 SIZE = 4
 NUM, DEN = 85, 100
-BLOCK = 256
-BROADCAST_IDS = 1_000_000
+BLOCK, BLOCK_GRAMS = 1024, 2_000_000
+BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 
@@ -167,24 +167,25 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, bloc
     clusters = components(scratch, stars, "candidates")
     clusters = scratch.save(clusters.join(nodes, "node"), "clusters")
 
-    wanted = clusters.select(F.col("first").alias("doc_id"))
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(lambda b: _sets(b, size), "node long, s binary").dropDuplicates(["node"]), "sets")
-
     bands = Bands(num, den)
     edge = [(i, int(a), int(b - 1), int(-(-b * num // den))) for i, (a, b) in enumerate(zip(bands.starts[:-1], bands.starts[1:], strict=True))]
     table = F.broadcast(spark.createDataFrame(edge, "band int, low long, high long, up long"))
-    banded = clusters.join(table, F.col("n").between(F.col("low"), F.col("high"))).select("node", "component", "n", "band", (F.col("n") >= F.col("up")).alias("up"))
-    banded = banded.select("node", "component", F.explode(F.when(F.col("up"), F.array(F.struct("band", F.lit(False).alias("small")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("small")))).otherwise(F.array(F.struct("band", F.lit(False).alias("small"))))).alias("x")).select("node", "component", "x.*")
-    counts = scratch.save(banded.groupBy("component", "band").agg(F.count("*").alias("m"), F.count_if(~F.col("small")).alias("own")).where("m > 1 and own > 0"), "counts")
-    tiles = banded.join(counts, ["component", "band"]).withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), "nb").cast("int"))
-    tiles = tiles.select("node", "component", "band", "small", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    tiles = tiles.select("node", "small", "mine", (F.col("mine") == F.col("other")).alias("inner"), F.xxhash64("component", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
-    tiles = tiles.join(sets, "node").repartition(parts, "tile").sortWithinPartitions("tile", "node")
+    banded = clusters.join(table, F.col("n").between(F.col("low"), F.col("high"))).select("node", "first", "component", "n", "band", (F.col("n") >= F.col("up")).alias("up"))
+    banded = banded.select("node", "first", "component", "n", F.explode(F.when(F.col("up"), F.array(F.struct("band", F.lit(False).alias("small")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("small")))).otherwise(F.array(F.struct("band", F.lit(False).alias("small"))))).alias("x")).select("node", "first", "component", "n", "x.*")
+    counts = scratch.save(banded.groupBy("component", "band").agg(F.count("*").alias("m"), F.count_if(~F.col("small")).alias("own"), F.sum("n").alias("grams")).where("m > 1 and own > 0"), "counts")
+    tiles = banded.join(counts, ["component", "band"]).withColumn("nb", F.ceil(F.greatest(F.col("m") / block, F.col("grams") / BLOCK_GRAMS)).cast("int")).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), "nb").cast("int"))
+    tiles = tiles.select("node", "first", "component", "band", "small", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    tiles = tiles.select("first", "node", "small", "mine", (F.col("mine") == F.col("other")).alias("inner"), F.xxhash64("component", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    tiles = scratch.save(tiles, "tiles")
+    # The sets are made again from the texts of the members and go straight to their tiles.
+    few = tiles.groupBy("first").agg(F.collect_list(F.struct("node", "small", "mine", "inner", "tile")).alias("to")).select(F.col("first").alias("doc_id"), "to")
+    texts = docs.join(F.broadcast(few) if tiles.count() <= BROADCAST_ROWS else few, "doc_id")
+    tiles = texts.mapInArrow(lambda b: _sets(b, size), "to array<struct<node: long, small: boolean, mine: int, inner: boolean, tile: long>>, node long, s binary")
+    tiles = tiles.select(F.col("node").alias("made"), "s", F.inline("to")).where("made = node").drop("made").repartition(parts, "tile").sortWithinPartitions("tile", "node")
     links = scratch.save(tiles.mapInArrow(lambda b: _solve(b, num, den), "a long, b long"), "links")
 
     found = components(scratch, links, "linked")
-    for t in ("stars", "sets", "counts"):
+    for t in ("stars", "tiles", "counts"):
         scratch.drop(t)
     of = scratch.save(nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "of")
     least = scratch.save(of.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min("first").alias("least")), "least")
@@ -204,7 +205,7 @@ def _ids(batches, size):
 def _sets(batches, size):
     for b in batches:
         rows = [(set_id(s), s.tobytes()) for _, s in shingle_sets(b.column("text"), size)]
-        yield rows_out(["node", "s"], [pa.int64(), pa.binary()], [[r[0] for r in rows], [r[1] for r in rows]])
+        yield pa.RecordBatch.from_arrays([b.column("to"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["to", "node", "s"])
 
 
 def _signed(batches, size, num, den, parts):
