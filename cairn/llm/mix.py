@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import ship
+from cairn.llm.common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -105,8 +105,9 @@ def plan(rows: list[tuple], total: int, share: float, most: float, weights: tupl
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): words that the mix takes of each row."""
     spark = docs.sparkSession
-    ship(spark)
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # Words are counted once; what follows reads ids and sizes.
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    d = Scratch(spark, "mix").save(sized, "sizes")
     by_source = {r[0]: r[1] for r in d.groupBy("source").agg(F.sum("size")).limit(MAX_SHARDS + 1).collect()}
     if len(by_source) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} sources")
