@@ -73,8 +73,8 @@ def missing(edges: DataFrame, arrived: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).distinct().join(arrived, "node", "left_anti")
 
 
-def write_order(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, seq): depth-first pre-order from root of edges(parent, child, ordinal), each node where it is first met."""
+def first_paths(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, path): the first path from root, in depth-first pre-order of edges(parent, child, ordinal), to each node."""
     spark = edges.sparkSession
     level = cut(spark.createDataFrame([(root, "", f"|{root}|")], "node string, path string, trail string"))
     out = level
@@ -85,7 +85,12 @@ def write_order(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFram
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    first = cut(out.groupBy("node").agg(F.min("path").alias("path")))
+    return cut(out.groupBy("node").agg(F.min("path").alias("path")))
+
+
+def write_order(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, seq): depth-first pre-order from root of edges(parent, child, ordinal), each node where it is first met."""
+    spark, first = edges.sparkSession, first_paths(edges, root, depth)
     # Order by range partition, then add the rows of the partitions before: no single-task sort.
     ranked = cut(first.orderBy("path").withColumn("part", F.spark_partition_id()))
     sizes = ranked.groupBy("part").count().orderBy("part").collect()

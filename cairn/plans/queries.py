@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cairn.functions import labels as L
 from cairn.functions import platforms as P
 from cairn.functions import refs as R
+from cairn.operators import artifacts as A
 from cairn.operators import catalog as C
 from cairn.operators import graph as G
 from cairn.operators import mapping as M
@@ -644,3 +645,150 @@ def sig02_verify_all(spark, d):
 @query("select time_bucket(interval '1 hour', ts) as hour, event_type, count(*)::bigint as n from events group by 1, 2")
 def ext_tumbling(spark, d):
     return V.read(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+# ---------------------------------------------------------------- artifact lists, sinks' rows, lineage
+
+
+GATHERS = "node like 'region:%' or node like 'nation:%'"
+NESTED = f"""{V.EDGES}, w as (select 'region:' || r_regionkey as root, 'region:' || r_regionkey as node from region
+    union select root, child from w join edges on parent = node where {GATHERS.replace("node", "parent")}),
+    nested as (select distinct root, node from w where not ({GATHERS}))"""
+
+
+def nested(spark, d):
+    e = V.edges(spark, d)
+    gathers = e.select(F.col("parent").alias("node")).where(GATHERS).distinct()
+    return A.nested_images(e, V.read(spark, d, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("node")), gathers)
+
+
+@query(f"with recursive {NESTED} select root, node from nested")
+def gr07_nested(spark, d):
+    return nested(spark, d).select("root", "node")
+
+
+@query(f"""with recursive {NESTED}, have as (select distinct child as node from edges where parent in ('nation:3', 'nation:7')) select node, root from nested where node not in (select node from have)""")
+def gr08_list(spark, d):
+    have = spark.createDataFrame([("nation:3",), ("nation:7",)], "node string")
+    return A.list_images(nested(spark, d), V.edges(spark, d).where("child like 'customer:%'"), have).select("node", "root")
+
+
+@query(f"""with recursive {V.EDGES}, w as (select 'nation:3' as node, '' as path, 0 as depth
+    union all select child, path || lpad(ordinal::varchar, 9, '0'), depth + 1 from w join edges on parent = node where depth < 3),
+    f as (select node, min(path) as met from w group by 1)
+    select e.path, e.depth, repeat('  ', e.depth) || e.node || case when e.path <> f.met then ' (repeated)' else '' end as line, e.path <> f.met as again from w e join f using (node) where e.depth > 0""")
+def gr09_tree(spark, d):
+    return A.tree(V.edges(spark, d), "nation:3", 3)
+
+
+@query("""select 'customer:' || o_custkey as index, coalesce(case when o_orderkey % 3 > 0 then 'linux' end, 'unknown') || '/' || coalesce(case when o_orderkey % 4 > 0 then 'amd64' end, 'unknown') as platform,
+    l_orderkey || ':' || l_linenumber as referrer from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'A'""")
+def gr11_sbom_map(spark, d):
+    o, k = V.read(spark, d, "orders"), F.col("o_orderkey")
+    e = o.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("index"), k.alias("manifest"))
+    m = o.select(k.alias("manifest"), F.when(k % 3 > 0, "linux").alias("os"), F.when(k % 4 > 0, "amd64").alias("architecture"))
+    r = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("subject"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("referrer"), F.col("l_returnflag").alias("artifact_type"))
+    return A.sbom_map(e, m, r, "A")
+
+
+@query("""with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as k, max(turn) over (partition by conv_id) as head, text from conversations)
+    select distinct conv_id || ':' || head as ref, sha256(text) as oid from c where k % 2 = 1 and text is not null""")
+def gr15_lfs(spark, d):
+    c = V.read(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    node = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    t = c.select("conv_id", "text", F.row_number().over(w).alias("k"), node(F.col("turn")).alias("node"), F.when(F.lag("turn").over(w).isNotNull(), node(F.lag("turn").over(w))).alias("child"), node(F.max("turn").over(Window.partitionBy("conv_id"))).alias("head"))
+    heads = t.select(F.col("head").alias("root"), F.col("head").alias("node")).distinct()
+    reach = A.labelled_closure(t.where("child is not null").select(F.col("node").alias("parent"), "child"), heads)
+    files = t.where("k % 2 = 1 and text is not null").select("node", F.sha2("text", 256).alias("oid"))
+    return reach.join(files, "node").select(F.col("root").alias("ref"), "oid").distinct()
+
+
+@query("""with t as (select doc_id, max(doc_id) over (partition by sha256(text)) as latest from documents where text is not null) select doc_id, latest from t where doc_id < latest""")
+def gr19_lineage(spark, d):
+    t = V.read(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    links = t.select(F.lead("doc_id").over(Window.partitionBy("h").orderBy("doc_id")).alias("newer"), F.col("doc_id").alias("older")).where("newer is not null")
+    return A.latest_of(links).select(F.col("node").alias("doc_id"), "latest")
+
+
+@query("""with c as (select l_partkey, l_suppkey || '/' || l_orderkey as ref, row_number() over (partition by l_partkey order by l_suppkey, l_orderkey * 10 + l_linenumber) as k from lineitem where l_linestatus = 'O') select l_partkey, ref from c where k = 1""")
+def gr20_resolve(spark, d):
+    c = V.read(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("server"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_orderkey").cast("string")).alias("ref"), (F.col("l_linestatus") == "O").alias("valid"))
+    return A.first_valid(c, "l_partkey")
+
+
+@query(f"""with {V.URLS}, p as (select a.page_id, a.ref as x, b.ref as y from urls a join urls b on b.page_id = a.page_id + 1),
+    r as (select *, list_reverse(string_split(x, '/')) as rx, list_reverse(string_split(y, '/')) as ry from p),
+    n as (select *, (select min(i) from range(1, greatest(len(rx), len(ry)) + 1) as t(i) where rx[i] is distinct from ry[i]) as n from r)
+    select page_id, case when x = y then x else array_to_string(list_filter(list_reverse(rx[1:n]), lambda s: s <> ''), '/') end as a,
+    case when x = y then y else array_to_string(list_filter(list_reverse(ry[1:n]), lambda s: s <> ''), '/') end as b from n""")
+def fn31_distinct_suffixes(spark, d):
+    u = V.urls(spark, d)
+    p = u.withColumnRenamed("ref", "x").join(u.select((F.col("page_id") - 1).alias("page_id"), F.col("ref").alias("y")), "page_id")
+    return p.select("page_id", A.distinct_suffixes(F.col("x"), F.col("y")).alias("s")).select("page_id", "s.*")
+
+
+@query("""with v as (select p_partkey, p_partkey % 4 as a, p_partkey % 10 as b, (['', '-rc.1', '-rc.10', '-rc.beta', '-alpha', '+meta'])[p_partkey % 6 + 1] as tail from part)
+    select p_partkey, case when p_partkey % 17 = 0 then null when (a, b) <> (2, 5) then (a, b) > (2, 5) else tail not in ('-rc.1', '-alpha') end as ok from v""")
+def fn35_version_minimum(spark, d):
+    k = F.col("p_partkey")
+    tail = F.element_at(F.array(*map(F.lit, ("", "-rc.1", "-rc.10", "-rc.beta", "-alpha", "+meta"))), (k % 6 + 1).cast("int"))
+    v = F.when(k % 17 == 0, "git version").otherwise(F.concat((k % 4).cast("string"), F.lit("."), (k % 10).cast("string"), tail))
+    return V.read(spark, d, "part").select(k, A.version_ok(v, F.lit("2.5.0-rc.2")).alias("ok"))
+
+
+@query("""select conv_id, '[' || string_agg('"' || sha256(text) || '"', ',' order by turn) || ']' as thumbprints from conversations where text is not null group by 1""")
+def fn51_thumbprints(spark, d):
+    chain = V.read(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
+    return chain.select("conv_id", A.thumbprints(F.col("c.text")).alias("thumbprints"))
+
+
+@query("""with p as (select regexp_replace(url, '^[a-z]+://', '') as path, strlen(html)::bigint as size from pages), s as (select * from p where not regexp_matches(path, '(^|/)\\.'))
+    select split_part(path, '/', 1) as part, case when bool_or(contains(path, '/')) then 'dir' else 'file' end as kind, sum(size)::bigint as size, coalesce(bool_or(size = 0), false) as error from s group by 1""")
+def src10_walk_parts(spark, d):
+    f = V.read(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.octet_length("html").cast("long").alias("size"))
+    return A.walk_parts(f).withColumn("error", F.coalesce("error", F.lit(False)))
+
+
+@query("select p_partkey from part where p_partkey % 4 <> 1 and p_partkey % 5 = 2")
+def src24_stored_index(spark, d):
+    k = F.col("p_partkey")
+    rows = V.read(spark, d, "part").select(k, F.when(k % 4 == 1, "4").otherwise("5").alias("index_version"), (k % 5 + 5).cast("string").alias("row_version"))
+    return A.stored_index(rows).select("p_partkey")
+
+
+@query(f"""with {V.BLOBS} select digest, max(size)::bigint as size, bool_and(doc_id % 9 <> 0) as verified from blobs where digest is not null and digest not in (select digest from blobs where digest is not null and lang = 'fr') group by 1""")
+def snk03_save_blobs(spark, d):
+    b = V.blobs(spark, d).where("digest is not null").join(V.read(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content")), "doc_id")
+    b = b.withColumn("content", F.when(F.col("doc_id") % 9 == 0, F.encode(F.lit("broken"), "utf-8")).otherwise(F.col("content")))
+    return A.save_blobs(b, b.where("lang = 'fr'"))
+
+
+@query("""with p as (select distinct 'pkg-' || (p_partkey % 50) as project, p_partkey % 50 % 7 = 0 as failed from part)
+    select project, 0::bigint as line_no, '# "' || project || '" ' || case when failed then 'failed to process with error not found' else 'processed successfully' end as line from p
+    union all select project, p_partkey, project || ' >=' || p_size from part join p on project = 'pkg-' || (p_partkey % 50) where failed""")
+def snk13_failed_requirements(spark, d):
+    k, name = F.col("p_partkey"), F.concat(F.lit("pkg-"), (F.col("p_partkey") % 50).cast("string"))
+    part = V.read(spark, d, "part")
+    projects = part.select(name.alias("project"), F.when(k % 50 % 7 == 0, "not found").alias("error")).distinct()
+    return A.failed_requirements(projects, part.select(name.alias("project"), k.alias("no"), F.concat(name, F.lit(" >="), F.col("p_size").cast("string")).alias("requirement")))
+
+
+@query("""with i as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as k from customer), m as (select c_nationkey, max(k) as n from i group by 1)
+    select c_nationkey, 'os' || k as os, null::varchar as architecture, k::bigint as ordinal, case when k = 2 then 'new' else 'old' || c_custkey end as digest from i
+    union all select c_nationkey, 'plan9', null, n + 1, 'added' from m""")
+def snk15_replace_platform(spark, d):
+    c, none = V.read(spark, d, "customer"), F.lit(None).cast("string")
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    i = c.select("c_nationkey", F.concat(F.lit("os"), k.cast("string")).alias("os"), none.alias("architecture"), none.alias("variant"), k.cast("long").alias("ordinal"), F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("digest"))
+    new = i.where("ordinal = 2").select("c_nationkey", "os", "architecture", "variant", F.lit("new").alias("digest")).union(c.select("c_nationkey", F.lit("plan9"), none, none, F.lit("added")).distinct())
+    return A.replace_platforms(i, new, ["c_nationkey"]).drop("variant")
+
+
+@query(f"with {V.BLOBS} select digest, min(doc_id % 3 + 1)::int as sync from blobs where digest is not null group by 1")
+def str05_batch_serialize(spark, d):
+    b = V.blobs(spark, d).where("digest is not null")
+    known = spark.createDataFrame([], "digest string, sync int")
+    for n in (1, 2, 3):
+        known = G.cut(known.unionByName(A.serialize_batch(known, b.where(F.col("doc_id") % 3 == n - 1), n)))
+    return known
