@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import rows_out, ship
+from cairn.llm.common import KEPT, rows_out, ship, start_task
 
 #: The byte-level pattern; \s is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -203,16 +203,14 @@ def merge(model: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tok[alive], count
 
 
-_KEPT: dict[str, Encoder] = {}
-
-
 def remembered(model) -> Encoder:
-    """The encoder of a broadcast model; a worker process keeps it, with its pieces, from task to task."""
-    value = model.value
-    if value["name"] not in _KEPT:
-        _KEPT.clear()
-        _KEPT[value["name"]] = Encoder(value)
-    return _KEPT[value["name"]]
+    """The encoder of a broadcast model; a worker process keeps it, with its pieces, until another operator's task."""
+    start_task("bpe")
+    name = model.value["name"]
+    if name not in (kept := KEPT.setdefault("bpe", {})):
+        kept.clear()
+        kept[name] = Encoder(model.value)
+    return kept[name]
 
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"

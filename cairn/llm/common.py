@@ -7,6 +7,8 @@ executor costs a re-read, never the data.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -71,6 +73,19 @@ class Scratch:
                 raise
 
 
+#: What an operator keeps in a Python worker from task to task, by operator.
+KEPT: dict[str, object] = {}
+
+
+def start_task(operator: str = "") -> None:
+    """Python workers are reused: drop what other operators left in this one and return free memory to the system."""
+    for k in [k for k in KEPT if k != operator]:
+        del KEPT[k]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, Words, components, grams, mix, n_parts, pack_by, ranges_hash, rows_out, sorted_groups, text_chunks
+from cairn.llm.common import Scratch, Words, components, grams, mix, n_parts, pack_by, ranges_hash, rows_out, sorted_groups, start_task, text_chunks
 
 SIZE = 4
 NUM, DEN = 85, 100
@@ -194,6 +194,7 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, bloc
 
 
 def _ids(batches, size):
+    start_task()
     for b in batches:
         n, node = [], []
         for _, s in shingle_sets(b.column("text"), size):
@@ -203,12 +204,14 @@ def _ids(batches, size):
 
 
 def _sets(batches, size):
+    start_task()
     for b in batches:
         rows = [(set_id(s), s.tobytes()) for _, s in shingle_sets(b.column("text"), size)]
         yield pa.RecordBatch.from_arrays([b.column("to"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["to", "node", "s"])
 
 
 def _signed(batches, size, num, den, parts):
+    start_task()
     bands, seen = Bands(num, den), set()
     sigs, nodes, have = [], [], 0
 
@@ -239,6 +242,7 @@ def _signed(batches, size, num, den, parts):
 
 def _meet(batches):
     """Star links (member, smallest member) of the nodes that share a signature."""
+    start_task()
     sig, node = [], []
     for b in batches:
         sig += b.column("sig").to_pylist()
@@ -263,6 +267,7 @@ def _meet(batches):
 
 
 def _solve(batches, num, den):
+    start_task()
     for g in sorted_groups(batches, ["tile"]):
         if g.num_rows < 2:
             continue

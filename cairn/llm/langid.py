@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Words, rows_out, ship, text_chunks
+from cairn.llm.common import Words, rows_out, ship, start_task, text_chunks
 
 SLOTS = 1 << 16
 TRAIN_ROWS = 6000
@@ -51,6 +51,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str],
     sample = labelled.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000 + 0.999)).select("lang", "text").repartition(8)
 
     def count(batches):
+        start_task()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -131,6 +132,7 @@ def identify(docs: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS, keep:
     names = [f.name for f in docs.schema if keep or f.name == "doc_id"]
 
     def run(batches):
+        start_task()
         logp = model.value
         for batch in batches:
             letter = batch.column("letter__cairn").to_pylist()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, Words, grams, n_parts, pack_by, ranges_hash, rows_out, sliding_min, sorted_groups, text_chunks
+from cairn.llm.common import Scratch, Words, grams, n_parts, pack_by, ranges_hash, rows_out, sliding_min, sorted_groups, start_task, text_chunks
 
 WINDOW = 50
 GRAM = 8
@@ -150,6 +150,7 @@ def _least(scratch, keyed, name):
 
 def _windows(batches):
     """The windows of chunks, whose keys lie packed in ``words``."""
+    start_task()
     for b in batches:
         raw = b.column("words").to_pylist()
         n = np.array([len(x) // 16 for x in raw])
@@ -159,6 +160,7 @@ def _windows(batches):
 
 
 def _sequences(batches):
+    start_task()
     for b in batches:
         seq, n = [], []
         for _, buf, off in text_chunks(b.column("text")):
@@ -170,6 +172,7 @@ def _sequences(batches):
 
 
 def _anchors(batches, window, gram, parts):
+    start_task()
     seen: dict[int, int] = {}
     held, have = [], 0
 
@@ -208,6 +211,7 @@ def _anchors(batches, window, gram, parts):
 
 
 def _shared(batches, hot):
+    start_task()
     cols = [[], [], [], [], []]
     for b in batches:
         for c, k in zip(cols, ("m", "seq", "doc", "at", "n"), strict=True):
@@ -240,6 +244,7 @@ def _shared(batches, hot):
 
 
 def _pieces(batches, window):
+    start_task()
     names, types = ["hot", "m", "m2", "doc_id", "at", "n", "words"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for b in batches:
         ids, spots = b.column("doc_id").to_pylist(), b.column("spots")
@@ -272,6 +277,7 @@ def _pieces(batches, window):
 
 
 def _match(batches, window):
+    start_task()
     out = []
     for g in sorted_groups(batches, ["m"]):
         if g.num_rows < 2:
@@ -296,6 +302,7 @@ def _match(batches, window):
 
 
 def _kept(batches, window):
+    start_task()
     for b in batches:
         kept, total, gone = [], [], []
         for text, ranges, copy in zip(*(b.column(c).to_pylist() for c in ("text", "ranges", "copy")), strict=True):

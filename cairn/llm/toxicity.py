@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER_VALUE, Words, mix, rows_out, ship, text_chunks
+from cairn.llm.common import LOWER_VALUE, Words, mix, rows_out, ship, start_task, text_chunks
 
 LENGTH, STRIDE = 40, 28
 TRAIN_DOCS = 5000
@@ -269,6 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     model = spark.sparkContext.broadcast(train([(t, int(y)) for _, t, y in rows]))
 
     def run(batches):
+        start_task()
         for b in batches:
             for i, buf, off in text_chunks(b.column("text"), 3 << 20):
                 s = probabilities(model.value, buf, off)
