@@ -13,10 +13,12 @@ candidates; only sets that are alike nearly everywhere meet. Signatures are shuf
 arrays and give star links, whose components are the candidate clusters.
 
 A cluster's members of a band, and those of the band below that are large enough, form a tile; tiles of over ``BLOCK``
-members or ``BLOCK_GRAMS`` elements are cut into pairs of blocks. In a tile a set is compared with those not yet
-connected to it: a bitmap of hashed elements bounds the overlap from above, and what may still
-reach the threshold is settled by intersecting the sorted arrays. Only links that join two
-groups are kept, which loses no component.
+members or a number of elements are cut into pairs of blocks. In a tile a set is compared with those not yet
+connected to it. Tiles are worked through twice. First they hold bitmaps only, some three bits an element: bit i is the
+parity of the elements that hash to i, so the bits in which two bitmaps differ are at most the elements in which the sets
+do, which bounds the overlap from above. Pairs that may still reach the threshold connect, and the components of that
+are clusters again, far smaller where documents share passages. Tiles of those hold the sets, and pairs within the bound
+are settled by intersecting the sorted arrays. Only links that join two groups are kept, which loses no component.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. Fewer words than ``size`` make one gram of all; null
 texts and texts without words are empty sets, linked with nothing. Ties and repeated rows are equal
@@ -37,7 +39,8 @@ from cairn.llm.common import Scratch, Words, components, grams, mix, n_parts, pa
 
 SIZE = 4
 NUM, DEN = 85, 100
-BLOCK, BLOCK_GRAMS = 1024, 2_000_000
+#: Sets in a block, and elements in a block of bitmaps or of sets.
+BLOCK, BLOCK_BITS, BLOCK_GRAMS = 1024, 32_000_000, 2_000_000
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
@@ -113,15 +116,22 @@ def may_link(a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * (a + b) // (den + num))
 
 
-def linked_tile(sets: list[np.ndarray], block: np.ndarray, small: np.ndarray, inner: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the groups of a tile; pairs of two small sets belong to another tile."""
-    m = len(sets)
-    n = np.array([len(s) for s in sets])
-    width = max(64, 1 << int(2 * n.max() - 1).bit_length())
-    bits = np.zeros((m, width // 64), _U)
-    for i, s in enumerate(sets):
-        at = (s & _U(width - 1)).astype(np.int64)
-        np.bitwise_or.at(bits[i], at >> 6, _U(1) << (at & 63).astype(_U))
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of two to four bits an element: the parity of the elements that fall on each bit."""
+    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+
+
+def folded(bits: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows, brought to the smallest width: halves fold by exclusive or, as parities do."""
+    least = min(len(b) for b in bits)
+    return np.stack([np.bitwise_xor.reduce(b.reshape(-1, least), axis=0) for b in bits])
+
+
+def linked_tile(n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, block: np.ndarray, small: np.ndarray, inner: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that span the groups of a tile; pairs of two small sets belong to another tile. Without sets the bound decides."""
+    m = len(n)
     group, done, links = np.arange(m), np.zeros(m, bool), []
     queue, rest = [], list(range(m - 1, -1, -1))
     while queue or rest:
@@ -132,19 +142,20 @@ def linked_tile(sets: list[np.ndarray], block: np.ndarray, small: np.ndarray, in
         c = (group != group[v]) & ~done & ~(small & small[v])
         if not inner:
             c &= block != block[v]
-        c &= (np.minimum(n, n[v]) * den >= np.maximum(n, n[v]) * num)
+        c &= np.minimum(n, n[v]) * den >= np.maximum(n, n[v]) * num
         c = np.flatnonzero(c)
         if not len(c):
             continue
-        need = may_link(int(n[v]), n[c], num, den)
-        only_v, only_c = np.bitwise_count(bits[v] & ~bits[c]).sum(1, dtype=np.int64), np.bitwise_count(bits[c] & ~bits[v]).sum(1, dtype=np.int64)
-        c = c[np.minimum(n[v] - only_v, n[c] - only_c) >= need]
+        differ = np.bitwise_count(bits[c] ^ bits[v]).sum(1, dtype=np.int64)
+        c = c[n[v] + n[c] - differ >= 2 * may_link(int(n[v]), n[c], num, den)]
         if not len(c):
             continue
-        flat, size = np.concatenate([sets[i] for i in c]), n[c]
-        at = np.minimum(np.searchsorted(sets[v], flat), n[v] - 1)
-        both = np.add.reduceat((sets[v][at] == flat).astype(np.int64), np.cumsum(size) - size)
-        for i in c[both * den >= (n[v] + size - both) * num].tolist():
+        if sets is not None:
+            flat, size = np.concatenate([sets[i] for i in c]), n[c]
+            at = np.minimum(np.searchsorted(sets[v], flat), n[v] - 1)
+            both = np.add.reduceat((sets[v][at] == flat).astype(np.int64), np.cumsum(size) - size)
+            c = c[both * den >= (n[v] + size - both) * num]
+        for i in c.tolist():
             if group[i] != group[v]:
                 links.append((v, i))
                 group[group == group[i]] = group[v]
@@ -152,31 +163,42 @@ def linked_tile(sets: list[np.ndarray], block: np.ndarray, small: np.ndarray, in
     return links
 
 
+def tiled(scratch: Scratch, clusters: DataFrame, name: str, num: int, den: int, block: int, grams: int) -> DataFrame:
+    """(first, node, small, mine, inner, tile): the places of the members of clusters(node, first, component, n) in tiles."""
+    bands = Bands(num, den)
+    edge = [(i, int(a), int(b - 1), int(-(-b * num // den))) for i, (a, b) in enumerate(zip(bands.starts[:-1], bands.starts[1:], strict=True))]
+    table = F.broadcast(scratch.spark.createDataFrame(edge, "band int, low long, high long, up long"))
+    own, above = F.struct("band", F.lit(False).alias("small")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("small"))
+    banded = clusters.join(table, F.col("n").between(F.col("low"), F.col("high")))
+    banded = banded.select("node", "first", "component", "n", F.explode(F.when(F.col("n") >= F.col("up"), F.array(own, above)).otherwise(F.array(own))).alias("x")).select("node", "first", "component", "n", "x.*")
+    counts = scratch.save(banded.groupBy("component", "band").agg(F.count("*").alias("m"), F.count_if(~F.col("small")).alias("own"), F.sum("n").alias("grams")).where("m > 1 and own > 0"), f"{name}-counts")
+    tiles = banded.join(counts, ["component", "band"]).withColumn("nb", F.ceil(F.greatest(F.col("m") / block, F.col("grams") / grams)).cast("int")).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), "nb").cast("int"))
+    tiles = tiles.select("node", "first", "component", "band", "small", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    tiles = tiles.select("first", "node", "small", "mine", (F.col("mine") == F.col("other")).alias("inner"), F.xxhash64("component", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    return scratch.save(tiles, f"{name}-tiles")
+
+
 def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     parts = n_parts(spark)
-    ids = scratch.save(docs.mapInArrow(lambda b: _ids(b, size), "doc_id long, n long, node long"), "ids")
+    ids = scratch.save(docs.mapInArrow(lambda b: _ids(b, size), "doc_id long, n long, node long, bits binary"), "ids")
     nodes = scratch.save(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("n")), "nodes")
 
     packed = docs.mapInArrow(lambda b: _signed(b, size, num, den, parts), "p int, sig binary, node binary")
     pairs = packed.repartition(parts, "p").mapInArrow(_meet, "a long, b long")
     stars = scratch.save(pairs.distinct(), "stars")
     clusters = components(scratch, stars, "candidates")
-    clusters = scratch.save(clusters.join(nodes, "node"), "clusters")
-
-    bands = Bands(num, den)
-    edge = [(i, int(a), int(b - 1), int(-(-b * num // den))) for i, (a, b) in enumerate(zip(bands.starts[:-1], bands.starts[1:], strict=True))]
-    table = F.broadcast(spark.createDataFrame(edge, "band int, low long, high long, up long"))
-    banded = clusters.join(table, F.col("n").between(F.col("low"), F.col("high"))).select("node", "first", "component", "n", "band", (F.col("n") >= F.col("up")).alias("up"))
-    banded = banded.select("node", "first", "component", "n", F.explode(F.when(F.col("up"), F.array(F.struct("band", F.lit(False).alias("small")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("small")))).otherwise(F.array(F.struct("band", F.lit(False).alias("small"))))).alias("x")).select("node", "first", "component", "n", "x.*")
-    counts = scratch.save(banded.groupBy("component", "band").agg(F.count("*").alias("m"), F.count_if(~F.col("small")).alias("own"), F.sum("n").alias("grams")).where("m > 1 and own > 0"), "counts")
-    tiles = banded.join(counts, ["component", "band"]).withColumn("nb", F.ceil(F.greatest(F.col("m") / block, F.col("grams") / BLOCK_GRAMS)).cast("int")).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), "nb").cast("int"))
-    tiles = tiles.select("node", "first", "component", "band", "small", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    tiles = tiles.select("first", "node", "small", "mine", (F.col("mine") == F.col("other")).alias("inner"), F.xxhash64("component", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
-    tiles = scratch.save(tiles, "tiles")
+    clusters = scratch.save(clusters.join(nodes, "node"), "candidates")
+
+    tiles = tiled(scratch, clusters, "bits", num, den, block, BLOCK_BITS)
+    bits = ids.where("n > 0").select(F.col("doc_id").alias("first"), "node", "n", "bits")
+    tiles = tiles.join(bits, ["first", "node"]).drop("first").repartition(parts, "tile").sortWithinPartitions("tile", "node")
+    alike = scratch.save(tiles.mapInArrow(lambda b: _screen(b, num, den), "a long, b long"), "alike")
+    clusters = scratch.save(components(scratch, alike, "alike").join(nodes, "node"), "clusters")
+    tiles = tiled(scratch, clusters, "sets", num, den, block, BLOCK_GRAMS)
     # The sets are made again from the texts of the members and go straight to their tiles.
     few = tiles.groupBy("first").agg(F.collect_list(F.struct("node", "small", "mine", "inner", "tile")).alias("to")).select(F.col("first").alias("doc_id"), "to")
     texts = docs.join(F.broadcast(few) if tiles.count() <= BROADCAST_ROWS else few, "doc_id")
@@ -185,7 +207,7 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, bloc
     links = scratch.save(tiles.mapInArrow(lambda b: _solve(b, num, den), "a long, b long"), "links")
 
     found = components(scratch, links, "linked")
-    for t in ("stars", "tiles", "counts"):
+    for t in ("stars", "candidates", "bits-tiles", "alike", "clusters", "sets-tiles"):
         scratch.drop(t)
     of = scratch.save(nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "of")
     least = scratch.save(of.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min("first").alias("least")), "least")
@@ -196,11 +218,12 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, bloc
 def _ids(batches, size):
     start_task()
     for b in batches:
-        n, node = [], []
+        n, node, bits = [], [], []
         for _, s in shingle_sets(b.column("text"), size):
             n.append(len(s))
             node.append(set_id(s))
-        yield rows_out(["doc_id", "n", "node"], [pa.int64(), pa.int64(), pa.int64()], [b.column("doc_id").to_pylist(), n, node])
+            bits.append(parity(s).tobytes() if len(s) else b"")
+        yield rows_out(["doc_id", "n", "node", "bits"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [b.column("doc_id").to_pylist(), n, node, bits])
 
 
 def _sets(batches, size):
@@ -266,13 +289,23 @@ def _meet(batches):
         yield rows_out(["a", "b"], [pa.int64(), pa.int64()], [part[:, 0].copy(), part[:, 1].copy()])
 
 
+def _screen(batches, num, den):
+    """Links between sets that their bitmaps allow to be alike."""
+    start_task()
+    for g in sorted_groups(batches, ["tile"]):
+        bits = folded([np.frombuffer(x, _U) for x in g.column("bits").to_pylist()])
+        yield from _links(g, g.column("n").to_numpy(), bits, None, num, den)
+
+
 def _solve(batches, num, den):
     start_task()
     for g in sorted_groups(batches, ["tile"]):
-        if g.num_rows < 2:
-            continue
         sets = [np.frombuffer(x, _U) for x in g.column("s").to_pylist()]
+        yield from _links(g, np.array([len(s) for s in sets]), folded([parity(s) for s in sets]), sets, num, den)
+
+
+def _links(g, n, bits, sets, num, den):
+    links = linked_tile(n, bits, sets, g.column("mine").to_numpy(), g.column("small").to_numpy(), g.column("inner")[0].as_py(), num, den)
+    if links:
         node = g.column("node").to_pylist()
-        links = linked_tile(sets, g.column("mine").to_numpy(), g.column("small").to_numpy(), g.column("inner")[0].as_py(), num, den)
-        if links:
-            yield rows_out(["a", "b"], [pa.int64(), pa.int64()], [[node[i] for i, _ in links], [node[j] for _, j in links]])
+        yield rows_out(["a", "b"], [pa.int64(), pa.int64()], [[node[i] for i, _ in links], [node[j] for _, j in links]])
