@@ -33,8 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\u024f]*")
 _L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN_PATTERN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+"
-STRETCH = 16 << 20
-MEMORY = 800_000
+STRETCH = 4 << 20
+MEMORY = 400_000
 
 
 def byte_letters() -> dict[str, int]:
