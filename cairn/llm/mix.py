@@ -31,6 +31,8 @@ MOST = 2.0
 SHARD_TOKENS = 65536
 MAX_SHARDS = 20_000
 SEED = 17
+#: Parts of a document that whole() counts in.
+UNIT = 1 << 20
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -102,8 +104,8 @@ def plan(rows: list[tuple], total: int, share: float, most: float, weights: tupl
     return out, block
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): words that the mix takes of each row."""
+def placed(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, source, size, shard, source_size, target, taken): the rows of mix() with their shards."""
     spark = docs.sparkSession
     # Words are counted once; what follows reads ids and sizes.
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -125,4 +127,24 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
         if(size = 0, 0L, aggregate(sequence((end - size) div {block}L, (end - 1) div {block}L), 0L, (acc, b) -> acc
             + (least(end, (b + 1) * {block}L) - greatest(end - size, b * {block}L))
             * (every + if((b * mult + add) % nb < more, 1L, 0L))))""")
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return d.select("doc_id", "source", "size", "shard", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): words that the mix takes of each row."""
+    return placed(docs, share, most, weights, shard_tokens).drop("shard")
+
+
+def whole(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, times): the mix in whole documents, those taken at least once.
+
+    The shares taken / size of a shard's documents are added up in order of size from a seeded start, and a document is
+    taken as often as the total passes a whole number: its share rounded down or up, while the words of a shard stay
+    within about one document of its quota. Rows of one doc_id share one number.
+    """
+    d = placed(docs, share, most, weights, shard_tokens).where("size > 0")
+    d = d.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.min(F.struct("source", "shard")).alias("at"))
+    d = d.withColumn("part", F.expr(f"(taken * {UNIT}L + size div 2) div size"))
+    w = Window.partitionBy("at").orderBy("size", F.xxhash64(F.lit(SEED + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("part").over(w) + F.pmod(F.xxhash64(F.lit(SEED + 3), "at.source", "at.shard"), F.lit(UNIT))
+    return d.withColumn("end", end).select("doc_id", F.expr(f"int(end div {UNIT}L - (end - part) div {UNIT}L)").alias("times")).where("times > 0")

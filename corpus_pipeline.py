@@ -41,8 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number (0, 1 or 2 times)."""
-    taken = mix.mix(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times__cairn")).where("times__cairn > 0").dropDuplicates(["doc_id"])
+    """Each document 0, 1 or 2 times, so that the words of each source come to its target."""
+    taken = mix.whole(docs).withColumnRenamed("times", "times__cairn")
     out = docs.join(taken, "doc_id").withColumn("times__cairn", F.explode(F.sequence(F.lit(1), "times__cairn")))
     return out.select(*docs.columns)
 

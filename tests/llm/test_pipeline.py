@@ -39,3 +39,20 @@ def test_pipeline(spark, tmp_path):
     assert len(before) == len(after)
     assert all(memoryview(bytes(r["ids"])).cast("I").tolist() == tok.encode(text[r["doc_id"]], add_special_tokens=False).ids for r in after)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in P.run(spark, str(tmp_path)).collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in after)
+
+
+def test_mixing_keeps_the_target_of_a_hot_source(spark):
+    import corpus_pipeline as P
+    from cairn.llm import mix
+
+    rng = __import__("random").Random(4)
+    docs = [(i, "w " * rng.randint(20, 200), f"s{1 if rng.random() < 0.23 else rng.randrange(12):02d}") for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    words, sources = {i: len(brute.words(t)) for i, t, _ in docs}, sorted({s for _, _, s in docs})
+    sizes = {s: sum(words[i] for i, _, x in docs if x == s) for s in sources}
+    want = dict(zip(sources, mix.targets(list(sizes.values()), [(3, 1, 2)[i % 3] for i in range(12)]), strict=True))
+    assert want["s01"] < 0.5 * sizes["s01"]
+    got = [r["doc_id"] for r in P.mixing(spark, df, "").collect()]
+    assert got and max(map(got.count, set(got))) <= 2
+    for s in sources:
+        assert abs(sum(words[i] for i in got if docs[i][2] == s) - want[s]) <= 400, s
