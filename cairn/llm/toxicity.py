@@ -2,7 +2,8 @@
 
 A word's input joins word features (a hashed embedding, and the log-odds of its presence in labelled toxic
 documents with their support) and character features (the mean hashed embedding of its character trigrams, and the
-mean and the largest of the trigrams' log-odds). Windows of ``LENGTH`` words, each overlapping
+mean and the largest of the trigrams' log-odds). A word of more than ``PIECE`` bytes counts as
+several, one for each piece, so that no byte of a text without spaces is left out. Windows of ``LENGTH`` words, each overlapping
 the next by ``LENGTH - STRIDE``, run through the network; attention pools the states of a window, and a document's score is
 that of its highest window. Every window of the whole text is scored.
 
@@ -31,24 +32,52 @@ HIDDEN = 8
 WORD_SLOTS, CHAR_SLOTS, DIM = 1 << 15, 1 << 13, 4
 EPOCHS, LEAST_STEPS, BATCH, RATE = 5, 240, 64, 0.01
 PRIOR = 5.0
+#: Bytes of a word that take one place in a window; longer words take as many places as they need.
+PIECE = 18
 f4 = np.float32
 
 
+def pieces(w: Words, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts the words of w into consecutive pieces of at most PIECE bytes, in place: (start, end, byte value before, and after, first piece of each word).
+
+    What lies beyond a word is a space, whatever stands there; a piece inside a word has its neighbours.
+    """
+    n = -(-(w.end - w.start) // PIECE)
+    total = np.concatenate([[0], np.cumsum(n)])
+    word = np.repeat(np.arange(len(n)), n)
+    k = np.arange(total[-1]) - total[word]
+    start = w.start[word] + k * PIECE
+    end = np.minimum(start + PIECE, w.end[word])
+    space = LOWER_VALUE[32]
+    before = np.where(k > 0, v[np.maximum(start - 1, 0)], space) if len(v) else np.zeros(0, np.uint64)
+    after = np.where(k < n[word] - 1, v[np.minimum(end, len(v) - 1)], space) if len(v) else np.zeros(0, np.uint64)
+    w.start, w.end, w.first = start, end, total[w.first]
+    return start, end, before, after, total[:-1]
+
+
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, type of each word, word slot of each type, its character slots [types, m] with -1 as filling)."""
+    """(words cut into pieces, type of each piece, word slot of each type, its character slots [types, PIECE] with -1 as filling)."""
     w = Words(buf, off, lower=True)
-    kinds, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    # Trigrams of " word " over bytes; those of the first 14 bytes and of the last 4 of longer words.
-    v = LOWER_VALUE[buf]
-    b = np.full(len(v) + 2, LOWER_VALUE[32], np.uint64)
-    b[1:-1] = np.where(np.isin(buf, (9, 10, 11, 12, 13)), LOWER_VALUE[32], v)
-    tri = (mix(b[:-2] + b[1:-1] * np.uint64(31) + b[2:] * np.uint64(961)) & np.uint64(CHAR_SLOTS - 1)).astype(np.int32)
-    start, size = w.start[first], (w.end - w.start)[first]
-    k = np.arange(18)
-    at = start[:, None] + np.where(k < 14, k, np.maximum(size[:, None] - 18 + k, 14))
-    ok = k[None] < np.minimum(size, 18)[:, None]
-    chars = np.where(ok, tri[np.minimum(at, max(0, len(buf) - 1))] if len(buf) else 0, -1)
-    return w, of.reshape(-1), (kinds & np.uint64(WORD_SLOTS - 1)).astype(np.int32), chars.astype(np.int32)
+    v = np.where(np.isin(buf, (9, 10, 11, 12, 13)), LOWER_VALUE[32], LOWER_VALUE[buf])
+    whole = w.hashes()
+    start, end, before, after, named = pieces(w, v)
+    # Beyond the first piece, pieces share one slot: nearly all would be new words that teach by rote.
+    slot = np.zeros(len(start), np.uint64)
+    slot[named] = whole & np.uint64(WORD_SLOTS - 1)
+    name = np.zeros(len(start), np.uint64)
+    name[named] = whole
+    _, first, of = np.unique(mix(mix(w.hashes() + before * np.uint64(31) + after * np.uint64(961)) + name), return_index=True, return_inverse=True)
+    # Trigrams of each piece with the byte before and after it: all those of " word " over the pieces of a word.
+    start, size = start[first], (end - start)[first]
+    k = np.arange(PIECE)
+    at = start[:, None] + k
+    ok = k[None] < size[:, None]
+    last = max(0, len(buf) - 1)
+    b = v[np.minimum(at, last)] if len(buf) else np.zeros(at.shape, np.uint64)
+    left = np.concatenate([before[first][:, None], b[:, :-1]], 1)
+    right = np.where(k[None] == size[:, None] - 1, after[first][:, None], np.concatenate([b[:, 1:], b[:, -1:]], 1))
+    tri = (mix(left + b * np.uint64(31) + right * np.uint64(961)) & np.uint64(CHAR_SLOTS - 1)).astype(np.int32)
+    return w, of.reshape(-1), slot[first].astype(np.int32), np.where(ok, tri, -1).astype(np.int32)
 
 
 class Odds:

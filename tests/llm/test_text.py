@@ -188,3 +188,22 @@ def test_empty_tables(spark):
     assert linededup.dedup_lines(none).collect() == [] and mix.mix(none).collect() == []
     assert langid.identify(none, F.lit(True)).collect() == []
     assert toxicity.score_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
+
+
+def test_toxicity_reads_long_words_whole():
+    import numpy as np
+
+    rng = __import__("random").Random(8)
+    rows = []
+    for i in range(500):
+        w = ["".join(rng.choice("aeioubdg") for _ in range(4)) for _ in range(rng.randint(20, 120))]
+        if i % 3 == 0:
+            w[len(w) // 2 : len(w) // 2] = [rng.choice(["idiot", "moron", "scum"]) for _ in range(3)]
+        rows.append(("-".join(w), int(i % 3 == 0)))
+    raw = [t.encode() for t, _ in rows[400:]]
+    off = np.cumsum([0, *map(len, raw)])
+    model = toxicity.train(rows[:400])
+    got = toxicity.probabilities(model, np.frombuffer(b"".join(raw), np.uint8), off)
+    assert sum((p >= 0.5) == bool(y) for p, (_, y) in zip(got, rows[400:], strict=True)) >= 95
+    alone = [toxicity.probabilities(model, np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in raw]
+    assert alone == pytest.approx(got.tolist(), abs=1e-5)
