@@ -15,11 +15,11 @@ def nested_images(edges: DataFrame, roots: DataFrame, gathers: DataFrame) -> Dat
     return reach.join(gathers, "node", "left_anti").where("root <> node")
 
 
-def labelled_closure(edges: DataFrame, starts: DataFrame, depth: int = G.MAX_DEPTH) -> DataFrame:
+def labelled_closure(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node): what each start(root, node) reaches, itself included; cycles are no harm."""
     step = edges.select(F.col("parent").alias("node"), "child")
     seen = frontier = G.cut(starts.select("root", "node").distinct())
-    for i in range(1, depth + 1):
+    for i in G.levels(depth):
         found = frontier.join(step, "node").select("root", F.col("child").alias("node")).distinct()
         frontier = G.cut(found.join(seen, ["root", "node"], "left_anti"))
         if frontier.isEmpty():

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
+#: Levels after which path_counts looks for a cycle.
+LONG = 100
+
+
+def levels(depth: int | None):
+    """1, 2, ... up to depth, or without end."""
+    return itertools.count(1) if depth is None else range(1, depth + 1)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,26 +25,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def path_counts(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def path_counts(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, level, paths): paths from the roots(node) that reach a node, by length.
 
-    Counts travel, not paths, so shared subgraphs cost one row for each node and level.
+    Counts travel, not paths, so shared subgraphs cost one row for each node and level. Without a depth, a cycle that
+    the roots reach is an error, as its paths have no end.
     """
     level = cut(roots.select("node", F.lit(0).alias("level"), F.lit(1).cast("long").alias("paths")))
     out = level
-    for i in range(1, depth + 1):
+    for i in levels(depth):
         step = level.join(edges.select(F.col("parent").alias("node"), "child"), "node").groupBy(F.col("child").alias("node")).agg(F.sum("paths").alias("paths"))
         level = cut(step.select("node", F.lit(i).alias("level"), "paths"))
         if level.isEmpty():
             break
-        out = out.unionByName(level)
+        if depth is None and i == LONG:
+            parents = edges.select("parent").distinct().count()
+        if depth is None and i >= LONG and i > parents:  # some parent comes twice
+            raise ValueError("paths run in a cycle")
+        out = cut(out.unionByName(level)) if i % 50 == 0 else out.unionByName(level)
     return out
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, level): every node reachable, at its smallest distance; cycles are no harm."""
     seen = frontier = cut(roots.select("node").distinct().withColumn("level", F.lit(0)))
-    for i in range(1, depth + 1):
+    for i in levels(depth):
         step = frontier.select("node").join(edges.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node")).distinct()
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("level", F.lit(i)))
         if frontier.isEmpty():
@@ -73,12 +85,12 @@ def missing(edges: DataFrame, arrived: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).distinct().join(arrived, "node", "left_anti")
 
 
-def first_paths(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
+def first_paths(edges: DataFrame, root: str, depth: int | None = None) -> DataFrame:
     """(node, path): the first path from root, in depth-first pre-order of edges(parent, child, ordinal), to each node."""
     spark = edges.sparkSession
     level = cut(spark.createDataFrame([(root, "", f"|{root}|")], "node string, path string, trail string"))
     out = level
-    for _ in range(depth):
+    for _ in levels(depth):
         nxt = level.join(edges.select(F.col("parent").alias("node"), "child", "ordinal"), "node").where("not contains(trail, concat('|', child, '|'))")
         nxt = nxt.select(F.col("child").alias("node"), F.concat("path", F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("path"), F.concat("trail", "child", F.lit("|")).alias("trail"))
         level = cut(nxt.groupBy("node").agg(F.min("path").alias("path"), F.min_by("trail", "path").alias("trail")))
@@ -88,7 +100,7 @@ def first_paths(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFram
     return cut(out.groupBy("node").agg(F.min("path").alias("path")))
 
 
-def write_order(edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
+def write_order(edges: DataFrame, root: str, depth: int | None = None) -> DataFrame:
     """(node, seq): depth-first pre-order from root of edges(parent, child, ordinal), each node where it is first met."""
     spark, first = edges.sparkSession, first_paths(edges, root, depth)
     # Order by range partition, then add the rows of the partitions before: no single-task sort.

@@ -1,6 +1,8 @@
 """Catalog operators: every query against its SQL, and tables of cases."""
 
 import glob
+import inspect
+import itertools
 import os
 
 import duckdb
@@ -13,6 +15,7 @@ from cairn.functions import labels as L
 from cairn.functions import platforms as P
 from cairn.functions import refs as R
 from cairn.functions.template import compile_template
+from cairn.operators import artifacts as A
 from cairn.operators import catalog as C
 from cairn.operators import graph as G
 from cairn.operators import mapping as M
@@ -187,3 +190,13 @@ def test_prune(spark):
     f = spark.createDataFrame([(i, 10) for i in range(10)], "atime long, size long").repartition(3)
     assert sorted(r["atime"] for r in C.prune_plan(f, 35).where("delete").collect()) == [0, 1, 2, 3, 4, 5, 6]
     assert C.prune_plan(f, 0).where("delete").count() == 10 and C.prune_plan(f, 1000).where("delete").count() == 0
+
+
+def test_closure_has_no_end_of_its_own(spark, monkeypatch):
+    for f in (G.closure, G.path_counts, G.first_paths, G.write_order, A.labelled_closure):
+        assert inspect.signature(f).parameters["depth"].default is None
+    assert list(itertools.islice(G.levels(None), 150))[-1] == 150 and list(G.levels(2)) == [1, 2]
+    monkeypatch.setattr(G, "LONG", 1)
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
+    with pytest.raises(ValueError):
+        G.path_counts(loop, spark.createDataFrame([("a",)], "node string"))
