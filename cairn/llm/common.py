@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; temporaries are about 60 times that.
 CHUNK_BYTES = 1 << 20
+#: Values that one pass of a range hash works on: long texts are hashed in such pieces.
+HASH_VALUES = 1 << 18
+#: Links that one task may join at the end of ``components``; more are contracted by shuffles first.
+FINISH_LINKS = 1 << 17
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -125,11 +131,31 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def ranges_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """64-bit polynomial hash of values[start:end] for each range, independent of its place."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_Q))
+    """64-bit polynomial hash of values[start:end] for each range (starts ascending), independent of its place.
+
+    Works through ``HASH_VALUES`` values at a time, so that temporaries do not grow with a text.
+    """
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    size = end - start
+    total = np.zeros(len(start), np.uint64)
+    for i in np.flatnonzero(size > HASH_VALUES):
+        for lo in range(int(start[i]), int(end[i]), HASH_VALUES):
+            part = values[lo : min(lo + HASH_VALUES, int(end[i]))]
+            part = (part * powers(base, len(part))[0]).sum(dtype=np.uint64, keepdims=True)
+            total[i : i + 1] += part * np.uint64(pow(base, lo - int(start[i]), 2**64))
+    short = np.flatnonzero(size <= HASH_VALUES)
+    i = 0
+    while i < len(short):
+        j = i + max(1, int(np.searchsorted(start[short[i:]], start[short[i]] + HASH_VALUES)))
+        at = short[i:j]
+        lo, hi = int(start[at[0]]), int(end[at].max())
+        part = values[lo:hi]
+        up, down = powers(base, hi - lo + 1)
+        cum = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(part * up[:-1], out=cum[1:])
+        total[at] = (cum[end[at] - lo] - cum[start[at] - lo]) * down[start[at] - lo]
+        i = j
+    return mix(total + size.astype(np.uint64) * np.uint64(_Q))
 
 
 class Words:
@@ -150,7 +176,13 @@ class Words:
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
 
     def hashes(self) -> np.ndarray:
-        return ranges_hash((LOWER_VALUE if self.lower else BYTE_VALUE)[self.buf], self.start, self.end, _P)
+        value, out, i = LOWER_VALUE if self.lower else BYTE_VALUE, [], 0
+        while i < len(self.start):
+            lo = int(self.start[i])
+            j = i + max(1, int(np.searchsorted(self.start[i:], lo + HASH_VALUES)))
+            out.append(ranges_hash(value[self.buf[lo : int(self.end[j - 1])]], self.start[i:j] - lo, self.end[i:j] - lo, _P))
+            i = j
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -215,32 +247,51 @@ def find_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str = "cc", finish: int | None = None) -> DataFrame:
     """(node long, component long): the smallest node reachable, of every node in edges(a, b).
 
-    Contraction: each round every node joins its smallest neighbour, links are renamed and the
-    loops dropped, so at least half of the joined nodes go. Rounds are written tables; the
-    number of rounds is logarithmic and nothing is gathered on the driver but a count.
+    Contraction: in a round each node joins the neighbour that a hash of the round and the node puts first, links are
+    renamed and loops dropped. As the order is drawn anew each round, a constant share of the nodes is expected to go,
+    whatever their ids, so rounds are logarithmic. Rounds are written tables. When at most ``finish`` links are left, one task
+    joins them: a bound, not a group of the data. The way back goes from the last round to the first, over tables that grow
+    by rounds. Nothing is gathered on the driver but counts.
     """
+    spark, finish = scratch.spark, FINISH_LINKS if finish is None else finish
     e = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e0")
-    steps, k = [], 0
-    while e.limit(1).count():
+    steps: list[DataFrame] = []
+    while (n := e.count()) > finish:
+        k = len(steps)
         near = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
-        to = scratch.save(near.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("y")), f"{name}-m{k}")
-        # A node may point at one that itself points lower: follow once, the next round does the rest.
-        steps.append(to)
+        order = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("y"))  # noqa: B023, E731
+        to = near.groupBy("x").agg(F.min(order("y")).alias("m")).select("x", F.least("m", order("x"))["y"].alias("y"))
+        steps.append(to := scratch.save(to, f"{name}-m{k}"))
         ta, tb = to.select(F.col("x").alias("a"), F.col("y").alias("ya")), to.select(F.col("x").alias("b"), F.col("y").alias("yb"))
-        n = e.join(ta, "a").select("b", "ya").join(tb, "b").select(F.least("ya", "yb").alias("a"), F.greatest("ya", "yb").alias("b"))
-        k += 1
-        e = scratch.save(n.where("a <> b").distinct(), f"{name}-e{k}")
-    if not steps:
-        return scratch.spark.createDataFrame([], "node long, component long")
-    lab = steps[0].select(F.col("x").alias("node"), F.col("y").alias("c"))
-    for i, to in enumerate(steps[1:]):
-        lab = lab.join(to.select(F.col("x").alias("c"), "y"), "c", "left").select("node", F.coalesce("y", "c").alias("c"))
-        if i % 3 == 2:
-            lab = scratch.save(lab, f"{name}-l{i}")
-    return scratch.save(lab.select("node", F.col("c").alias("component")), f"{name}-out")
+        joined = e.join(ta, "a").select("b", "ya").join(tb, "b").where("ya <> yb").select(F.least("ya", "yb").alias("a"), F.greatest("ya", "yb").alias("b"))
+        e = scratch.save(joined.distinct(), f"{name}-e{k + 1}")
+        scratch.drop(f"{name}-e{k}")
+    if n:
+        last = e.repartition(1).mapInArrow(_finish, "node long, component long")
+    else:
+        last = spark.createDataFrame([], "node long, component long")
+    lab = scratch.save(last, f"{name}-last")
+    for k in range(len(steps) - 1, -1, -1):
+        far = lab.select(F.col("node").alias("y"), F.col("component").alias("far"))
+        lab = scratch.save(steps[k].join(far, "y", "left").select(F.col("x").alias("node"), F.coalesce("far", "y").alias("component")), f"{name}-l{k}")
+        scratch.drop(f"{name}-m{k}")
+    if steps:  # the one that stands for a component is any of its nodes so far
+        least = lab.groupBy("component").agg(F.min("node").alias("least"))
+        lab = scratch.save(lab.join(least, "component").select("node", F.col("least").alias("component")), f"{name}-out")
+    return lab
+
+
+def _finish(batches):
+    """Components of all the links of a bounded table."""
+    ab = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if ab:
+        ab = np.concatenate(ab, axis=1)
+        nodes, at = np.unique(ab, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        yield rows_out(["node", "component"], [pa.int64(), pa.int64()], [nodes, nodes[find_roots(len(nodes), a, b)]])
 
 
 def sorted_groups(batches, keys: list[str]):
@@ -271,6 +322,30 @@ def sorted_groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
+def sorted_runs(batches, key: str, rows: int = 1 << 14):
+    """(Arrow table, group starts): whole groups of a stream that is sorted by key, some ``rows`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        have += batch.num_rows
+        if have < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        v = t.column(key).to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        if len(start) > 1:  # the last group may go on
+            yield t.slice(0, int(start[-1])), start[:-1]
+            t = t.slice(int(start[-1]))
+        held, have = t.to_batches(), t.num_rows
+    if have:
+        t = pa.Table.from_batches(held).combine_chunks()
+        v = t.column(key).to_numpy()
+        yield t, np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+
+
 def fixed(column, dtype, width: int) -> np.ndarray:
     """Rows of equal-length binary values as a matrix."""
     data = b"".join(column.to_pylist())

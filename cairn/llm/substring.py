@@ -4,22 +4,25 @@ A window is ``window`` consecutive words of a document. A word goes if a window
 words also start in a document with a smaller doc_id.
 
 Windows are routed to reference shards by their anchor, the smallest hash among the window's
-``GRAM``-grams: equal windows have equal anchors. Anchors, packed, are shuffled alone first, and only
-those that two different word sequences have go on. For these, the stretch of a document whose windows have the
-anchor is sent to the anchor's shard. There the stretches stream in doc_id order past a generalised suffix
-automaton of the stretches before them: matching statistics of ``window`` or more mark words, and a
-stretch with anything new is added. An anchor's shard is bounded by ``HOT`` word sequences; the windows of anchors
-above that, in content-defined chunks of some eight and then singly, are each a reference of their own (the key is 128 bits of the
-words' hashes, the reference its smallest doc_id, a partial aggregate), so a passage that a third of the corpus shares
-is met by a join that adaptive execution splits, not by one task. The automata are not broadcast:
-the reference is the corpus, so a broadcast has no bound; each shard's automaton meets only the stretches with its anchor.
-
-Documents of equal word sequences are known by a hash: those after the first lose every
+``GRAM``-grams: equal windows have equal anchors. A stretch is a run of at most ``RUN`` windows with one anchor, known by
+128 bits of its words' hashes. Stretches go no further whose anchor stands in one document only, and of equal stretches only
+one does: a document with a larger id than the first that has the stretch loses all its words, as one row.
+
+The distinct stretches of an anchor meet in the anchor's shard. Its reference is the first ``REFERENCE`` of them by doc_id: all
+of them nearly always. They stream in doc_id order past a generalised suffix automaton of the references before them:
+matching statistics of ``window`` or more mark words. An anchor with more stretches than ``SALT_ROWS`` has its
+reference sent to as many tasks as that takes, so that a passage that a third of the corpus has, each time in other surroundings, is no hot
+task. Windows that the reference leaves open, in stretches beyond it, are settled by keys of 128 bits each: exact,
+and few to match, as what many documents share stands in the first of them. The automata are not broadcast to every task:
+the reference is the corpus, so that a broadcast has no bound; a shard's automaton meets the stretches with its anchor only.
+
+Documents of equal word sequences are known by a hash of 128 bits: those after the first lose every
 word if they have ``window`` words, as each of their windows starts in the first.
 
-Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null texts have none. Texts are whole, whatever their length.
-Rows that repeat a doc_id are the same document for "smaller doc_id"; each keeps its row, and rows of one
-doc_id with different texts may share what is removed. Empty tables give empty results. Other columns are ignored.
+Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null texts have none. Texts are whole, whatever their length; long ones are hashed
+in pieces. A row is known by its doc_id and a hash of its text: rows that repeat a doc_id are one document for "smaller
+doc_id", each with its own removals. Rows whose doc_id is null lose nothing and are no
+reference. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cairn.llm.common import Scratch, Words, grams, n_parts, pack_by, ranges_hash, rows_out, sliding_min, sorted_groups, start_task, text_chunks
+from cairn.llm.common import Scratch, Words, grams, n_parts, ranges_hash, rows_out, sliding_min, start_task, text_chunks
 
 WINDOW = 50
 GRAM = 8
-HOT = 128
-#: A chunk of windows ends where these bits of a window's hash are 0: every eighth on average.
-CHUNK = 7
+#: Windows of a stretch, stretches in an anchor's reference, and stretches that one task streams past it.
+RUN, REFERENCE, SALT_ROWS = 128, 128, 2048
 _U = np.uint64
 _B1, _B2 = 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25
+#: A row that loses all its words.
+ALL = (1 << 31) - 1
 
 
 class Automaton:
@@ -110,212 +115,182 @@ def merged(starts: list[int], window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, reference: int = REFERENCE, salt_rows: int = SALT_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, kept string, n_words, n_removed) of every row of docs(doc_id, text); kept words are joined by one space."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "substring")
-    docs, parts = docs.select(F.col("doc_id").cast("long"), "text"), n_parts(spark)
-    gram = min(GRAM, window)
-    seqs = scratch.save(docs.mapInArrow(_sequences, "doc_id long, seq long, n long").where(F.col("n") >= window), "seqs")
-    firsts = scratch.save(seqs.groupBy("seq").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "firsts")
-    copies = scratch.save(seqs.join(firsts, "seq").where("doc_id > first").select("doc_id").distinct(), "copies")
-
-    packed = docs.mapInArrow(lambda b: _anchors(b, window, gram, parts), "p int, m binary, seq binary, doc binary, at binary, n binary")
-    spots = packed.repartition(parts, "p").mapInArrow(lambda b: _shared(b, hot), "doc_id long, m long, at int, n int, hot boolean")
-    spots = scratch.save(spots.groupBy("doc_id").agg(F.collect_list(F.struct("m", "at", "n", "hot")).alias("spots")), "spots")
-    pieces = docs.join(spots, "doc_id").mapInArrow(lambda b: _pieces(b, window), "hot boolean, m long, m2 long, doc_id long, at int, n int, words binary")
-    pieces = scratch.save(pieces, "pieces")
-
-    cold = pieces.where("not hot").select("m", "doc_id", "at", "words").repartition(parts, "m").sortWithinPartitions("m", "doc_id", "at")
-    found = scratch.save(cold.mapInArrow(lambda b: _match(b, window), "doc_id long, lo int, hi int"), "cold")
-    # Above HOT: whole chunks of windows first, then the windows of the chunks that no smaller document has.
-    runs = pieces.where("hot").select("m", "m2", "doc_id", "at", "n", "words")
-    runs = scratch.save(runs.join(_least(scratch, runs, "least"), ["m", "m2"]), "runs")
-    warm = runs.where("doc_id > least").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (window - 1)).alias("hi"))
-    keyed = runs.where("doc_id = least and n > 1").select("doc_id", "at", "words").mapInArrow(_windows, "m long, m2 long, doc_id long, at int")
-    single = keyed.union(runs.where("doc_id = least and n = 1").select("m", "m2", "doc_id", "at"))
-    single = scratch.save(single, "single")
-    warm = warm.union(single.join(_least(scratch, single, "least1"), ["m", "m2"]).where("doc_id > least").select("doc_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
-    ranges = scratch.save(found.union(warm).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    for t in ("seqs", "firsts", "spots", "pieces", "cold", "least", "least1", "runs", "single"):
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    gram, content, place = min(GRAM, window), ["m", "s1", "s2"], ["doc_id", "row"]
+
+    known = docs.where("doc_id is not null").mapInArrow(lambda b: _stretches(b, window, gram), "m long, s1 long, s2 long, doc_id long, row long, at int, n int")
+    known = scratch.save(known, "stretches")
+    wholes, parts = known.where("at < 0"), known.where("at >= 0")
+    firsts = scratch.save(wholes.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
+    copies = wholes.join(firsts, ["s1", "s2"]).where("doc_id > first").select(*place, F.lit(0).alias("lo"), F.lit(ALL).alias("hi"))
+
+    shared = scratch.save(parts.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("m"), "anchors")
+    shared = scratch.save(parts.join(shared, "m"), "shared")
+    once = scratch.save(shared.groupBy(*content).agg(F.min(F.struct("doc_id", "row", "at")).alias("least"), F.max("n").alias("n")), "once")
+    many = scratch.save(once.groupBy("m").agg(F.count("*").alias("k")), "many")
+    once = scratch.save(once.join(many, "m"), "contents")
+    placed = scratch.save(shared.join(once.select(*content, F.col("least.doc_id").alias("first"), "k"), content), "placed")
+    covered = placed.where("doc_id > first").select(*place, F.col("at").alias("lo"), (F.col("at") + F.col("n") + (window - 1)).alias("hi"))
+    owned = placed.where("doc_id = first and k > 1").select(*content, *place, "at")
+
+    # The reference of an anchor: its first stretches. The rank has a limit, so that a task sends few of each anchor.
+    some, order = once.where(F.col("k") > 1), ["least.doc_id", *content[1:]]
+    hot = some.where(F.col("k") > reference)
+    ranked = hot.select(*content, F.row_number().over(Window.partitionBy("m").orderBy(*order)).alias("r")).where(F.col("r") <= reference)
+    hot = hot.join(ranked, content, "left").withColumn("ref", F.col("r").isNotNull()).drop("r")
+    some = some.where(F.col("k") <= reference).withColumn("ref", F.lit(True)).unionByName(hot)
+    salts = F.ceil(F.col("k") / salt_rows).cast("int")
+    mine = F.pmod(F.col("s1"), salts).cast("int")
+    spots = some.groupBy(F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row")).agg(F.collect_list(F.struct(*content, "least.at", "n", "k", "ref", salts.alias("salts"), mine.alias("mine"))).alias("spots"))
+    pieces = docs.join(scratch.save(spots, "spots"), place).mapInArrow(lambda b: _pieces(b, window), "m long, s1 long, s2 long, doc_id long, ref boolean, salts int, mine int, open boolean, words binary")
+    # In each salt the reference comes by (role 0); a stretch is matched in its own (role 1), or both at once (2).
+    both = F.when(F.col("ref"), F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: F.struct(i.alias("salt"), F.when(i == F.col("mine"), 2).otherwise(0).alias("role"))))
+    tiles = pieces.select(*content, "doc_id", "open", "words", F.inline(both.otherwise(F.array(F.struct(F.col("mine").alias("salt"), F.lit(1).alias("role"))))))
+    tiles = tiles.withColumn("shard", F.xxhash64("m", "salt")).repartition(n_parts(spark), "shard").sortWithinPartitions("shard", "m", "salt", "doc_id", "s1", "s2")
+    found = scratch.save(tiles.mapInArrow(lambda b: _match(b, window), "m long, s1 long, s2 long, doc_id long, lo int, hi int, w1 long, w2 long"), "found")
+
+    left = found.where("w1 is not null")
+    least = scratch.save(left.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "least")
+    late = left.join(least, ["w1", "w2"]).where("doc_id > first").select(*content, "lo", "hi")
+    answers = found.where("w1 is null").select(*content, "lo", "hi").union(late)
+    told = owned.join(answers, content).select(*place, (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    ranges = scratch.save(covered.union(told).union(copies).groupBy(*place).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    for t in ("stretches", "firsts", "anchors", "shared", "once", "many", "contents", "placed", "spots", "found", "least"):
         scratch.drop(t)
-    out = docs.join(ranges, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-    return out.mapInArrow(lambda b: _kept(b, window), "doc_id long, kept string, n_words long, n_removed long")
+    return docs.join(ranges, place, "left").mapInArrow(_kept, "doc_id long, kept string, n_words long, n_removed long")
 
 
-def _least(scratch, keyed, name):
-    """(m, m2, least): the smallest doc_id of each key, as a table, so that the join that follows can split hot keys."""
-    return scratch.save(keyed.groupBy("m", "m2").agg(F.min("doc_id").alias("least")), name)
-
-
-def _windows(batches):
-    """The windows of chunks, whose keys lie packed in ``words``."""
-    start_task()
-    for b in batches:
-        raw = b.column("words").to_pylist()
-        n = np.array([len(x) // 16 for x in raw])
-        k = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-        at = np.repeat(b.column("at").to_numpy(), n) + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-        yield rows_out(["m", "m2", "doc_id", "at"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], [k[:, 0].copy(), k[:, 1].copy(), np.repeat(b.column("doc_id").to_numpy(), n), at.astype(np.int32)])
-
-
-def _sequences(batches):
-    start_task()
-    for b in batches:
-        seq, n = [], []
-        for _, buf, off in text_chunks(b.column("text")):
-            w = Words(buf, off)
-            seq.append(ranges_hash(w.hashes(), w.first[:-1], w.first[1:], _B1).view(np.int64))
-            n.append(np.diff(w.first))
-        if n:
-            yield rows_out(["doc_id", "seq", "n"], [pa.int64(), pa.int64(), pa.int64()], [b.column("doc_id").to_pylist(), np.concatenate(seq), np.concatenate(n)])
-
-
-def _anchors(batches, window, gram, parts):
+def _stretches(batches, window, gram):
+    """Rows of stretches, and one with ``at`` -1 of each text of ``window`` words: the hash of all its words."""
     start_task()
-    seen: dict[int, int] = {}
-    held, have = [], 0
-
-    def flush():
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        rows = pack_by((cols[0] % _U(parts)).astype(np.int64), parts, cols)
-        return rows_out(["p", "m", "seq", "doc", "at", "n"], [pa.int32()] + [pa.binary()] * 5, [[r[0] for r in rows], *([r[1][k] for r in rows] for k in range(5))])
-
+    names, types = ["m", "s1", "s2", "doc_id", "row", "at", "n"], [*[pa.int64()] * 5, pa.int32(), pa.int32()]
+    seen: dict[tuple[int, int], tuple[int, int]] = {}
     for b in batches:
-        ids = b.column("doc_id").to_pylist()
-        for row, buf, off in text_chunks(b.column("text")):
+        ids, row_of = b.column("doc_id").to_numpy(), b.column("row").to_numpy()
+        for i, buf, off in text_chunks(b.column("text")):
             w = Words(buf, off)
-            h = w.hashes()
-            if len(h) < window:
+            size = np.diff(w.first)
+            long = np.flatnonzero(size >= window)
+            if not len(long):
+                continue
+            h, doc, row = w.hashes(), ids[i : i + len(size)], row_of[i : i + len(size)]
+            q1, q2 = (ranges_hash(h, w.first[long], w.first[long + 1], x).view(np.int64) for x in (_B1, _B2))
+            yield rows_out(names, types, [np.zeros(len(long), np.int64), q1, q2, doc[long], row[long], np.full(len(long), -1, np.int32), size[long].astype(np.int32)])
+            # A copy of a text that this task has sent with a smaller doc_id has nothing to add.
+            use = []
+            for d, x, y in zip(long.tolist(), q1.tolist(), q2.tolist(), strict=True):
+                me = (int(doc[d]), int(row[d]))
+                was = seen.get((x, y))
+                if was is None or me[0] < was[0] or (me[0] == was[0] and me != was):
+                    seen[x, y] = me
+                    use.append(d)
+            if len(seen) > 500_000:
+                seen.clear()
+            d = np.array(use, np.int64)
+            if not len(d):
                 continue
-            seq = ranges_hash(h, w.first[:-1], w.first[1:], _B1)
             low = sliding_min(grams(h, gram), window - gram + 1)
-            for i in range(len(off) - 1):
-                a, e = int(w.first[i]), int(w.first[i + 1]) - window + 1
-                doc, s = ids[row + i], int(seq[i])
-                if e <= a or doc is None or seen.get(s, doc + 1) <= doc:
-                    continue
-                seen[s] = doc
-                m = low[a:e]
-                at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                n = np.diff(np.append(at, len(m)))
-                held.append((m[at], np.full(len(at), s, _U), np.full(len(at), doc, np.int64), at.astype(np.int32), n.astype(np.int32)))
-                have += len(at)
-        if have >= 1_000_000:
-            yield flush()
-            held, have = [], 0
-        if len(seen) > 1_000_000:
-            seen.clear()
-    if have:
-        yield flush()
-
-
-def _shared(batches, hot):
-    start_task()
-    cols = [[], [], [], [], []]
-    for b in batches:
-        for c, k in zip(cols, ("m", "seq", "doc", "at", "n"), strict=True):
-            c += b.column(k).to_pylist()
-    if not cols[0]:
-        return
-    m, seq, doc, at, n = (np.frombuffer(b"".join(c), t) for c, t in zip(cols, (_U, _U, np.int64, np.int32, np.int32), strict=True))
-    del cols
-    o = np.argsort(m, kind="stable")
-    again = np.concatenate([[False], m[o][1:] == m[o][:-1]])
-    again[:-1] |= again[1:]
-    o = o[again]
-    m, seq, doc, at, n = (x[o] for x in (m, seq, doc, at, n))
-    # One row for each place in a word sequence, in its first document.
-    o = np.lexsort((doc, at, seq, m))
-    m, seq, doc, at, n = (x[o] for x in (m, seq, doc, at, n))
-    new = np.ones(len(m), bool)
-    new[1:] = (m[1:] != m[:-1]) | (seq[1:] != seq[:-1]) | (at[1:] != at[:-1])
-    m, seq, doc, at, n = (x[new] for x in (m, seq, doc, at, n))
-    if not len(m):
-        return
-    start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-    fresh = np.ones(len(m), np.int64)
-    fresh[1:] = (m[1:] != m[:-1]) | (seq[1:] != seq[:-1])
-    count = np.repeat(np.add.reduceat(fresh, start), np.diff(np.append(start, len(m))))
-    keep = count > 1
-    for i in range(0, int(keep.sum()), 100_000):
-        s = np.flatnonzero(keep)[i : i + 100_000]
-        yield rows_out(["doc_id", "m", "at", "n", "hot"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()], [doc[s], m[s].view(np.int64), at[s], n[s], count[s] > hot])
+            n = size[d] - window + 1
+            end = np.cumsum(n)
+            k = np.arange(end[-1])
+            at = np.repeat(w.first[d] - (end - n), n) + k
+            m, of = low[at], np.repeat(d, n)
+            new = np.ones(len(k), bool)
+            new[1:] = (m[1:] != m[:-1]) | (of[1:] != of[:-1])
+            new |= (k - np.maximum.accumulate(np.where(new, k, 0))) % RUN == 0
+            s = np.flatnonzero(new)
+            n, a, of = np.diff(np.append(s, len(k))), at[s], of[s]
+            s1, s2 = (ranges_hash(h, a, a + n + window - 1, x).view(np.int64) for x in (_B1, _B2))
+            yield rows_out(names, types, [m[s].view(np.int64), s1, s2, doc[of], row[of], (a - w.first[of]).astype(np.int32), n.astype(np.int32)])
 
 
 def _pieces(batches, window):
+    """The words of stretches, joined by one space."""
     start_task()
-    names, types = ["hot", "m", "m2", "doc_id", "at", "n", "words"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names, types = ["m", "s1", "s2", "doc_id", "ref", "salts", "mine", "open", "words"], [*[pa.int64()] * 4, pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     for b in batches:
         ids, spots = b.column("doc_id").to_pylist(), b.column("spots")
         rows = []
-        for row, buf, off in text_chunks(b.column("text")):
+        for i, buf, off in text_chunks(b.column("text")):
             w = Words(buf, off)
-            h = w.hashes()
             raw = buf.tobytes()
-            at = np.arange(max(0, len(h) - window + 1))
-            h1, h2 = (ranges_hash(h, at, at + window, x).view(np.int64) for x in (_B1, _B2))
-            for i in range(len(off) - 1):
-                first, doc = int(w.first[i]), ids[row + i]
-                for s in spots[row + i].as_py():
-                    a, n = first + s["at"], s["n"]
-                    if a + n + window - 1 > int(w.first[i + 1]):
-                        continue  # a row with the same doc_id and another text
-                    if s["hot"]:
-                        # Content-defined chunks: equal stretches are cut alike.
-                        cuts = np.concatenate([[a], a + np.flatnonzero((h1[a + 1 : a + n] & CHUNK) == 0) + 1, [a + n]])
-                        c1, c2 = (ranges_hash(h, cuts[:-1], cuts[1:] + window - 1, x).view(np.int64) for x in (_B1, _B2))
-                        for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                            rows.append((True, int(c1[k]), int(c2[k]), doc, x - first, y - x, np.stack([h1[x:y], h2[x:y]], 1).tobytes()))
-                    else:
-                        rows.append((False, s["m"], 0, doc, s["at"], n, b" ".join(raw[w.start[a] : w.end[a + n + window - 2]].split())))
-            if len(rows) > 5000:
-                yield rows_out(names, types, list(zip(*rows, strict=True)))
-                rows = []
+            for d in range(len(off) - 1):
+                first = int(w.first[d])
+                for s in spots[i + d].as_py():
+                    a = first + s["at"]
+                    words = b" ".join(raw[w.start[a] : w.end[a + s["n"] + window - 2]].split())
+                    rows.append((s["m"], s["s1"], s["s2"], ids[i + d], s["ref"], s["salts"], s["mine"], not s["ref"], words))
+                if len(rows) > 5000:
+                    yield rows_out(names, types, list(zip(*rows, strict=True)))
+                    rows = []
         if rows:
             yield rows_out(names, types, list(zip(*rows, strict=True)))
 
 
 def _match(batches, window):
+    """Ranges of a stretch's words that a smaller document has, and the keys of windows that stay open."""
     start_task()
-    out = []
-    for g in sorted_groups(batches, ["m"]):
-        if g.num_rows < 2:
-            continue
-        sam, whole, waiting, at_doc = Automaton(), set(), [], None
-        for doc, at, raw in zip(*(g.column(c).to_pylist() for c in ("doc_id", "at", "words")), strict=True):
-            if doc != at_doc:  # a document's own stretches are no reference for it
+    names, types = ["m", "s1", "s2", "doc_id", "lo", "hi", "w1", "w2"], [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    out, still = [], []
+
+    def flush():
+        if out:
+            yield rows_out(names, types, [*zip(*out, strict=True), [None] * len(out), [None] * len(out)])
+        if still:
+            raw = [r[4] for r in still]
+            w = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            at = np.concatenate([w.first[i] + np.array(r[5]) for i, r in enumerate(still)])
+            w1, w2 = (ranges_hash(w.hashes(), at, at + window, x).view(np.int64) for x in (_B1, _B2))
+            lo = [x for r in still for x in r[5]]
+            yield rows_out(names, types, [*([v for r in still for v in [r[c]] * len(r[5])] for c in range(4)), lo, [x + window for x in lo], w1, w2])
+
+    at, was, doc_at, sam, whole, waiting = None, None, None, None, set(), []
+    for b in batches:
+        for m, s1, s2, doc, is_open, raw, salt, role in zip(*(b.column(c).to_pylist() for c in ("m", "s1", "s2", "doc_id", "open", "words", "salt", "role")), strict=True):
+            if at != (m, salt):
+                at, sam, whole, waiting, doc_at = (m, salt), Automaton(), set(), [], doc
+            elif was == (s1, s2, doc):
+                continue  # a repeated row
+            was = (s1, s2, doc)
+            if doc != doc_at:  # a document's own stretches are no reference for it
                 for r in waiting:
                     sam.add(r.split(b" "))
                     whole.add(r)
-                waiting, at_doc = [], doc
+                waiting, doc_at = [], doc
             words = raw.split(b" ")
-            ends = range(window, len(words) + 1) if raw in whole else sam.ends(words, window) if whole else ()
-            out += [(doc, at + a, at + b) for a, b in merged([e - window for e in ends], window)]
-            if len(ends) < len(words) - window + 1:
+            last = len(words) - window + 1
+            ends = sam.ends(words, window) if whole else []
+            if role:
+                out += [(m, s1, s2, doc, x, y) for x, y in merged([e - window for e in ends], window)]
+                if is_open and len(ends) < last:
+                    have = {e - window for e in ends}
+                    still.append((m, s1, s2, doc, raw, [x for x in range(last) if x not in have]))
+            if role != 1 and len(ends) < last:
                 waiting.append(raw)
-        if len(out) > 5000:
-            yield rows_out(["doc_id", "lo", "hi"], [pa.int64(), pa.int32(), pa.int32()], list(zip(*out, strict=True)))
-            out = []
-    if out:
-        yield rows_out(["doc_id", "lo", "hi"], [pa.int64(), pa.int32(), pa.int32()], list(zip(*out, strict=True)))
+            if len(out) > 20_000 or len(still) > 5000:
+                yield from flush()
+                out, still = [], []
+    yield from flush()
 
 
-def _kept(batches, window):
+def _kept(batches):
     start_task()
     for b in batches:
         kept, total, gone = [], [], []
-        for text, ranges, copy in zip(*(b.column(c).to_pylist() for c in ("text", "ranges", "copy")), strict=True):
+        for text, ranges in zip(*(b.column(c).to_pylist() for c in ("text", "ranges")), strict=True):
             words = (text or "").encode().split()
             n = len(words)
-            if copy and n >= window:
+            if ranges and any(r["hi"] == ALL for r in ranges):
                 words = []
             elif ranges:
                 on = np.zeros(n + 1, np.int64)
                 for r in ranges:
-                    if r["hi"] <= n:
-                        on[r["lo"]] += 1
-                        on[r["hi"]] -= 1
+                    on[r["lo"]] += 1
+                    on[r["hi"]] -= 1
                 words = [words[i] for i in np.flatnonzero(np.cumsum(on)[:n] == 0)]
             kept.append(b" ".join(words).decode())
             total.append(n)

@@ -37,13 +37,36 @@ def test_jaccard_band_edges(spark):
     assert got == brute.jaccard(docs, 4, 85, 100)
 
 
-@pytest.mark.parametrize("seed,window,hot", [(1, 50, 128), (2, 10, 128), (3, 10, 3), (4, 50, 2)])
-def test_substring(spark, seed, window, hot):
+@pytest.mark.parametrize("seed,window,reference,salt", [(1, 50, 128, 2048), (2, 10, 128, 2048), (3, 10, 3, 2), (4, 50, 2, 5)])
+def test_substring(spark, seed, window, reference, salt):
     docs = brute.corpus(seed)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup_substrings(frame(spark, docs), window, hot).collect()}
+    df = frame(spark, docs).withColumn("row", F.lit("clash")).withColumn("m", F.lit(1))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup_substrings(df, window, reference, salt).collect()}
     assert got == brute.substrings(docs, window)
 
 
+@pytest.mark.parametrize("reference,salt", [(128, 2048), (2, 3)])
+def test_substring_hot_passage(spark, reference, salt):
+    rng = __import__("random").Random(6)
+    passage = ["p%d" % k for k in range(90)]
+    docs = []
+    for i in range(80):  # a passage in ever other surroundings, slightly other each time
+        w = list(passage)
+        if i % 3:
+            w[rng.randrange(90)] = "x%d" % rng.randrange(4)
+        docs.append((i, " ".join(["a%d" % rng.randrange(30) for _ in range(rng.randint(0, 60))] + w + ["b%d" % rng.randrange(30) for _ in range(rng.randint(0, 60))])))
+    docs += [(200, "la " * 3000), (201, "la " * 2000 + "lo " + "la " * 60), (202, "la " * 49), (203, " ".join(passage * 4))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup_substrings(frame(spark, docs), 50, reference, salt).collect()}
+    assert got == brute.substrings(docs, 50)
+
+
+def test_substring_repeated_ids(spark):
+    w, u, v = (" ".join("%s%d" % (c, k) for k in range(60)) for c in "wuv")
+    rows = [(1, w), (7, w), (7, u), (7, u), (8, u + " " + w), (9, v), (9, v), (9, v + "  "), (None, w), (None, v)]
+    got = sorted((r["doc_id"] or 0, r["kept"][:2], r["n_removed"]) for r in substring.dedup_substrings(frame(spark, rows)).collect())
+    assert got == sorted([(1, "w0", 0), (7, "", 60), (7, "u0", 0), (7, "u0", 0), (8, "", 120), (9, "v0", 0), (9, "v0", 0), (9, "v0", 0), (0, "w0", 0), (0, "v0", 0)])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
 def test_lines(spark, n):
     rng = __import__("random").Random(n)
@@ -59,7 +82,7 @@ def test_mix(spark):
     rng = __import__("random").Random(1)
     docs = [(i, "w " * rng.choice([0, 1, 3, 40, 300]), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(800)] + [(900, None, "z"), (901, "v " * 5000, "b")]
     df = frame(spark, docs, DOCS + ", source string").withColumn("size", F.lit("clash"))
-    a, b = (sorted(mix.mix(d, shard_tokens=2000).collect()) if False else {r["doc_id"]: r for r in mix.mix(d, shard_tokens=2000).collect()} for d in (df, df.repartition(5)))
+    a, b = ({r["doc_id"]: r for r in mix.mix(d, shard_tokens=2000).collect()} for d in (df, df.repartition(5)))
     assert a == b and len(a) == len(docs)
     sources = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(len(brute.words(t)) for _, t, x in docs if x == s) for s in sources}

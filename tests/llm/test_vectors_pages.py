@@ -79,6 +79,19 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k in got} and set(got) == {x for a, b in links if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("shape", ["ascending", "zigzag", "star"])
+def test_components_rounds_are_logarithmic(spark, shape):
+    n = 5000
+    ids = list(range(n)) if shape != "zigzag" else [x for p in zip(range(n // 2), range(n - 1, n // 2 - 1, -1), strict=True) for x in p]
+    links = [(0, k) for k in range(1, n)] if shape == "star" else list(zip(ids, ids[1:]))
+    saved, scratch = [], Scratch(spark, "t")
+    save = scratch.save
+    scratch.save = lambda df, name: (saved.append(name), save(df, name))[1]
+    got = components(scratch, spark.createDataFrame(links, "a long, b long"), finish=40)
+    assert got.where("component = 0").count() == got.count() == n and got.select("node").distinct().count() == n
+    assert 0 < sum("-m" in x for x in saved) <= 20
+
+
 def test_warc(spark):
     rng = random.Random(1)
     big = "é" * 600
