@@ -67,7 +67,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,45 @@ def test_near_duplicate_vectors(spark):
     assert got[1002] == (0, 1002) and got[1003] == (0, 1003)
 
 
+def test_near_vectors_shipped_recall(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], 0
+    for i in range(600):  # pairs at cosine 0.93 to 0.95
+        a, b = rng.standard_normal((2, 48))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        c = rng.uniform(0.93001, 0.95)
+        rows += [(2 * i, (a * 3).tolist(), i % 4), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist(), i % 4)]
+        pairs += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r[0]: (r[1], r[2]) for r in pstable.near_duplicates(df).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.95 * 2 * pairs
+    assert all(c == i or (c == i - 1 and i % 2) for i, (_, c) in got.items())
+
+
+def test_near_vectors_odd_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (None, [-1.0, 0.5], 1), (3, [-1.0, 0.51], 1), (None, [0.0, -1.0], 1)]
+    got = sorted(((r[0], r[1], r[2]) for r in pstable.near_duplicates(spark.createDataFrame(rows, VEC)).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (1, 0, 1), (2, 1, 1), (None, 1, 3), (3, 1, 3), (None, 0, None)], key=repr)
+
+
+def test_top_k_odd_rows(spark):
+    rows = [(0, [1.0, 2.0], 1), (20, [2.0, 1.0], 1), (20, [3.0, 3.0], 1), (None, [5.0, 5.0], 1), (7, [1.0], 1), (40, [4.0], 1), (8, [1e9, 1e9], 1), (60, [1e9, -1e9], 1), (9, [1e300, 1.0], 1), (80, [1e7, 3.0], 1)]
+    q = lambda v: [int(np.floor(256 * float(np.float32(x) if abs(x) < 1e38 else x))) for x in v]
+    df = spark.createDataFrame([(i, [float(np.float32(x)) if abs(x) < 1e38 else x for x in v], y) for i, v, y in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 20 == 0, 20).collect())
+    want = []
+    for i in (0, 20, 40, 60, 80):
+        mine = min(q(v) for j, v, _ in rows if j == i)
+        cand = []
+        for j, v, _ in rows:
+            if len(v) == len(mine) and j != i:
+                s = sum(a * b for a, b in zip(mine, q(v), strict=True))
+                cand.append((-max(-(2**63), min(2**63 - 1, s)), 2**63 if j is None else j))
+        want += [(i, k + 1, None if j == 2**63 else j, -s) for k, (s, j) in enumerate(sorted(cand))]
+    assert got == sorted(want)
+
+
 def test_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(pstable, "BLOCK_ROWS", 5)
     rng = np.random.default_rng(0)
