@@ -93,7 +93,35 @@ def test_mix(spark):
         rows = [r for r in a.values() if r["source"] == s]
         assert all(0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[s] for r in rows)
         assert all(r["target"] == pytest.approx(want[s]) for r in rows)
-        assert abs(sum(r["taken"] for r in rows) - want[s]) <= 2
+        assert sum(r["taken"] for r in rows) == round(want[s])
+
+
+@pytest.mark.parametrize("total,seed", [(4 * 10**8, 1), (2 * 10**9, 2), (3 * 10**5, 3), (4 * 10**7, 4)])
+def test_mix_plan_at_any_block_size(total, seed):
+    rng = __import__("random").Random(seed)
+    parts = [rng.random() ** 6 for _ in range(11)]
+    rows = [("s%02d" % i, k, int(total * p / sum(parts) / n * rng.uniform(0.5, 1.5))) for i, p in enumerate(parts) for n in [max(1, int(p / sum(parts) * total) // 65536)] for k in range(n)]
+    rows += [("tiny", 0, 7), (None, 0, 3), ("none", 0, 0)]
+    size = {s: sum(n for x, _, n in rows if x == s) for s in {r[0] for r in rows}}
+    planned, block = mix.plan(rows, sum(size.values()), 1.5, 2.0, (3, 1, 2))
+    line, sizes = {s: 0 for s in size}, {(s, k): n for s, k, n in rows}
+    goals = {}
+    for s, k, source_size, goal, off, first, head, nb, every, more, mult, add, trims in planned:
+        n, goals[s] = sizes[s, k], goal
+        assert source_size == size[s] and nb == -(-(off + n) // block) - first
+        line[s] += max(0, min(off + n, first * block) - off) * head
+        for b in range(first, first + nb):  # block by block
+            times = every + (((b - first) * mult + add) % nb < more)
+            assert 0 <= times <= 2
+            line[s] += (min(off + n, (b + 1) * block) - b * block) * times
+        line[s] += sum(d * max(0, min(off + n, hi) - max(off, lo)) for lo, hi, d in trims)
+    assert {s: round(g) for s, g in goals.items()} == line
+
+
+def test_mix_repeated_rows(spark):
+    rows = [(1, "a b c", "x")] * 3 + [(2, "d", None), (2, None, "x")]
+    got = mix.mix(frame(spark, rows, DOCS + ", source string")).collect()
+    assert sorted((r["doc_id"], r["size"], r["source_size"]) for r in got) == [(1, 3, 9), (1, 3, 9), (1, 3, 9), (2, 0, 9), (2, 1, 1)]
 
 
 def test_sainte_lague_is_highest_quotients():
