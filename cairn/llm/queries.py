@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, jaccard, knn, langid, linededup, mix, pstable, substring, toxicity, warc
-from cairn.llm.common import Scratch, shared_dir
+from cairn.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    uri = f"{shared_dir(spark)}/cairn-archive-{uuid.uuid4().hex[:12]}"
+    uri = f"{scratch.dir}/archive"  # goes with the session
     warc.write_warc(table(spark, sf_dir, "pages"), uri, scratch)
     return warc.read_warc(spark, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

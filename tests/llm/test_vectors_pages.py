@@ -140,11 +140,13 @@ def test_warc(spark):
 
     def write(name):
         uri = f"{shared_dir(spark)}/{name}"
-        files = warc.write_warc(df if name == "a" else df.repartition(7), uri, Scratch(spark, "w"), shard_bytes=20_000, roll_bytes=3_000)
+        done = warc.write_warc(df if name == "a" else df.repartition(7), uri, Scratch(spark, "w"), shard_bytes=20_000, roll_bytes=3_000)
+        files = sorted(map(tuple, warc.manifest(spark, uri).collect()))
+        assert done["files"] == len(files) and done["records"] == len(pages) and done["bytes"] == sum(r[4] for r in files)
         return uri, files
 
     (uri, files), (_, again) = write("a"), write("b")
-    assert files == again and len(files) > 10 and all(r["file"].startswith("shard-") for r in files)
+    assert files == again and len(files) > 10 and all(r[2].startswith("shard-") for r in files)
     got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, uri).collect()), key=repr)
     want = []
     for i, _, h in pages:
@@ -153,4 +155,25 @@ def test_warc(spark):
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 302 if revisit else None))
     assert got == sorted(want, key=repr)
     empty = f"{shared_dir(spark)}/none"
-    assert warc.write_warc(df.limit(0), empty, Scratch(spark, "w")) == [] and warc.read_warc(spark, empty).collect() == []
+    assert warc.write_warc(df.limit(0), empty, Scratch(spark, "w"))["files"] == 0 and warc.read_warc(spark, empty).collect() == []
+
+
+def test_warc_shards_by_any_ids(spark):
+    rng = random.Random(2)
+    rows = [(i, f"u{i % 3}", "x" * rng.randint(500, 1500)) for i in range(1000)]
+    odd = [(-(2**62) - 5, "u", "low"), (2**62 + 5, "u", "high"), (-(2**63), "u", "least"), (2**63 - 1, "u", "most"), (-4, "b", "same"), (-4, "a", "same"), (-4, "a", "same")]
+    schema = "page_id long, url string, html string"
+
+    def write(name, rows):
+        df = spark.createDataFrame(rows, schema).repartition(5)
+        done = warc.write_warc(df, f"{shared_dir(spark)}/{name}", Scratch(spark, "w"), shard_bytes=25_000)
+        got = warc.read_warc(spark, f"{shared_dir(spark)}/{name}").collect()
+        assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows)
+        return done["written"], sorted(map(tuple, warc.manifest(spark, f"{shared_dir(spark)}/{name}").collect()))
+
+    rng.shuffle(rows)
+    plain, one, all_odd = write("p", rows), write("o", rows + odd[1:2]), write("q", rows + odd)
+    assert 35 <= plain[0] <= 60 and plain[0] <= one[0] <= plain[0] + 1 and plain[0] <= all_odd[0] <= plain[0] + 4
+    again = rows + odd
+    rng.shuffle(again)
+    assert write("r", again) == all_odd
