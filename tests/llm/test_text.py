@@ -78,6 +78,28 @@ def test_lines(spark, n):
     assert got == brute.line_runs(docs, n)
 
 
+def test_lines_of_long_runs(spark):
+    rng = __import__("random").Random(1)
+    run = ["r%d" % k for k in range(45)]
+    docs = []
+    for i in range(40):
+        n = rng.choice([2, 3, 5, 40])
+        k = rng.randrange(45 - n + 1)
+        docs.append((i, "\n".join(["a%d" % rng.randrange(999) for _ in range(rng.randint(0, 9))] + run[k : k + n] + ["b%d" % rng.randrange(999) for _ in range(rng.randint(0, 9))])))
+    docs += [(50, "\n" * 300), (51, "\n" * 500)]
+    for n in (2, 3):
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linededup.dedup_lines(frame(spark, docs), n).collect()}
+        assert got == brute.line_runs(docs, n)
+
+
+def test_lines_of_repeated_ids(spark):
+    long, short = "\n".join("l%d" % k for k in range(48)), "x\ny"
+    rows = [(5, long), (5, short), (6, long), (7, short), (7, short), (None, short), (None, long), (8, "q\nr"), (8, "q\nr"), (9, "z\n" + short + "\nz")]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in linededup.dedup_lines(frame(spark, rows)).collect()), key=repr)
+    want = [(5, 48, 0, long), (5, 2, 0, short), (6, 48, 48, ""), (7, 2, 2, ""), (7, 2, 2, ""), (None, 2, 0, short), (None, 48, 0, long), (8, 2, 0, "q\nr"), (8, 2, 0, "q\nr"), (9, 4, 2, "z\nz")]
+    assert got == sorted(want, key=repr)
+
+
 def test_mix(spark):
     rng = __import__("random").Random(1)
     docs = [(i, "w " * rng.choice([0, 1, 3, 40, 300]), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(800)] + [(900, None, "z"), (901, "v " * 5000, "b")]
