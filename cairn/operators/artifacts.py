@@ -17,7 +17,7 @@ def nested_images(edges: DataFrame, roots: DataFrame, gathers: DataFrame) -> Dat
 
 def labelled_closure(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node): what each start(root, node) reaches, itself included; cycles are no harm."""
-    step = edges.select(F.col("parent").alias("node"), "child")
+    step = G.steps(edges)
     seen = frontier = G.cut(starts.select("root", "node").distinct())
     for i in G.levels(depth):
         found = frontier.join(step, "node").select("root", F.col("child").alias("node")).distinct()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +21,35 @@ def levels(depth: int | None):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the cluster's checkpoint folder and read again; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="cairn-"))
-    return df.checkpoint()
+    """Write below the cluster's checkpoint folder and read again: lineage ends, and the plans that follow know the table's size.
+
+    A folder of our own is made only in local mode without one. The tables go when the session ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = getattr(sc, "_cairn_tables", None)
+    if folder is None:
+        base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        folder = sc._cairn_tables = f"{base.rstrip('/')}/cairn-tables-{uuid.uuid4().hex[:12]}"
+        atexit.register(_drop, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark, folder: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def steps(edges: DataFrame, *more: str) -> DataFrame:
+    """Edges as (node, child, more...), written once, so that no level makes them again; a small frontier is broadcast to them."""
+    return cut(edges.select(F.col("parent").alias("node"), "child", *more))
 
 
 def path_counts(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
@@ -32,14 +59,14 @@ def path_counts(edges: DataFrame, roots: DataFrame, depth: int | None = None) ->
     the roots reach is an error, as its paths have no end.
     """
     level = cut(roots.select("node", F.lit(0).alias("level"), F.lit(1).cast("long").alias("paths")))
-    out = level
+    out, edges = level, steps(edges)
     for i in levels(depth):
-        step = level.join(edges.select(F.col("parent").alias("node"), "child"), "node").groupBy(F.col("child").alias("node")).agg(F.sum("paths").alias("paths"))
+        step = level.join(edges, "node").groupBy(F.col("child").alias("node")).agg(F.sum("paths").alias("paths"))
         level = cut(step.select("node", F.lit(i).alias("level"), "paths"))
         if level.isEmpty():
             break
         if depth is None and i == LONG:
-            parents = edges.select("parent").distinct().count()
+            parents = edges.select("node").distinct().count()
         if depth is None and i >= LONG and i > parents:  # some parent comes twice
             raise ValueError("paths run in a cycle")
         out = cut(out.unionByName(level)) if i % 50 == 0 else out.unionByName(level)
@@ -49,8 +76,9 @@ def path_counts(edges: DataFrame, roots: DataFrame, depth: int | None = None) ->
 def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, level): every node reachable, at its smallest distance; cycles are no harm."""
     seen = frontier = cut(roots.select("node").distinct().withColumn("level", F.lit(0)))
+    edges = steps(edges)
     for i in levels(depth):
-        step = frontier.select("node").join(edges.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node")).distinct()
+        step = frontier.select("node").join(edges, "node").select(F.col("child").alias("node")).distinct()
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("level", F.lit(i)))
         if frontier.isEmpty():
             break
@@ -74,7 +102,8 @@ def complete(edges: DataFrame, arrived: DataFrame) -> DataFrame:
 
     Incompleteness climbs: a parent of what is missing or incomplete is incomplete.
     """
-    parents = edges.select("parent").distinct()
+    edges, arrived = cut(edges.select("parent", "child")), cut(arrived.select("node"))
+    parents = cut(edges.select("parent").distinct())
     bad = cut(edges.join(arrived.select(F.col("node").alias("child")), "child", "left_anti").select(F.col("parent").alias("node")).union(parents.select(F.col("parent").alias("node")).join(arrived, "node", "left_anti")).distinct())
     up = closure(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), bad)
     return parents.select(F.col("parent").alias("node")).join(up.select("node"), "node", "left_anti")
@@ -89,9 +118,9 @@ def first_paths(edges: DataFrame, root: str, depth: int | None = None) -> DataFr
     """(node, path): the first path from root, in depth-first pre-order of edges(parent, child, ordinal), to each node."""
     spark = edges.sparkSession
     level = cut(spark.createDataFrame([(root, "", f"|{root}|")], "node string, path string, trail string"))
-    out = level
+    out, edges = level, steps(edges, "ordinal")
     for _ in levels(depth):
-        nxt = level.join(edges.select(F.col("parent").alias("node"), "child", "ordinal"), "node").where("not contains(trail, concat('|', child, '|'))")
+        nxt = level.join(edges, "node").where("not contains(trail, concat('|', child, '|'))")
         nxt = nxt.select(F.col("child").alias("node"), F.concat("path", F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("path"), F.concat("trail", "child", F.lit("|")).alias("trail"))
         level = cut(nxt.groupBy("node").agg(F.min("path").alias("path"), F.min_by("trail", "path").alias("trail")))
         if level.isEmpty():
@@ -114,3 +143,13 @@ def write_order(edges: DataFrame, root: str, depth: int | None = None) -> DataFr
 
     w = Window.partitionBy("part").orderBy("path")
     return ranked.join(F.broadcast(spark.createDataFrame(base, "part int, base long")), "part").select("node", (F.col("base") + F.row_number().over(w)).alias("seq"))
+
+
+def subdag_size(edges: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(root, size) of each of roots(node): its own size and that of each child it comes by; a manifest met again adds its own size, not what is below."""
+    from cairn.operators.artifacts import labelled_closure
+
+    edges = cut(edges.select("parent", "child"))
+    reach = labelled_closure(edges, roots.select(F.col("node").alias("root"), "node"))
+    met = reach.join(edges.withColumnRenamed("parent", "node"), "node").select("root", F.col("child").alias("node"))
+    return met.union(roots.select(F.col("node").alias("root"), "node")).join(sizes, "node").groupBy("root").agg(F.sum("size").alias("size"))
