@@ -7,8 +7,8 @@ wide enough that linked sets lie in one band or in neighbours.
 Candidates, exactly: linked sets of a band differ in at most k elements, k being
 ``2 (1 - t) / (1 + t)`` of the band's largest size. The hash range is cut into K > k parts; at least K - k
 parts of two linked sets are equal, so they share a signature (the hash of a part's elements)
-unless all of the equal parts are empty, for which a set with so many empty parts has keys of
-its own. A part holds some six elements, so that a passage that many documents share makes no
+unless all of the equal parts are empty, for which the sets of a band with so many empty parts have one
+key more. A part holds some six elements, so that a passage that many documents share makes no
 candidates; only sets that are alike nearly everywhere meet. Signatures are shuffled as packed
 arrays and give star links, whose components are the candidate clusters.
 
@@ -27,9 +27,6 @@ sets. Texts are whole, whatever their length. Empty tables give empty results; o
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +39,8 @@ NUM, DEN = 85, 100
 #: Sets in a block, and elements in a block of bitmaps or of sets.
 BLOCK, BLOCK_BITS, BLOCK_GRAMS = 1024, 32_000_000, 2_000_000
 BROADCAST_ROWS = 1_000_000
+#: Bytes of signatures that one task sorts.
+MEET_BYTES = 64 << 20
 _U = np.uint64
 
 
@@ -104,10 +103,8 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     slack = parts - int(bands.k[band])  # so many parts of linked sets are equal at least
     empty = parts - len(start)
     if empty >= slack:
-        none = np.setdiff1d(np.arange(parts), part[start].astype(np.int64))
-        groups = combinations(none.tolist(), slack) if comb(empty, slack) <= 4096 else [()]
-        extra = [mix(np.array([hash((band, *g)) & 0xFFFFFFFFFFFF], _U) + tag)[0] for g in groups]
-        sig = np.concatenate([sig, np.array(extra, _U)])
+        # All equal parts may be empty: such sets, of which there are few, meet by a key of the band.
+        sig = np.concatenate([sig, mix(np.array([0x5E7], _U) + tag)])
     return sig
 
 
@@ -180,21 +177,28 @@ def tiled(scratch: Scratch, clusters: DataFrame, name: str, num: int, den: int,
 
 def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
+    return grouped(docs, size, num, den, block, scratch).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """join() with ``row``, a hash of the text, and ``grp``, a hash that names the group, null for empty sets."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
     parts = n_parts(spark)
-    ids = scratch.save(docs.mapInArrow(lambda b: _ids(b, size), "doc_id long, n long, node long, bits binary"), "ids")
+    ids = scratch.save(docs.mapInArrow(lambda b: _ids(b, size), "doc_id long, row long, n long, node long, bits binary"), "ids")
     nodes = scratch.save(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("n")), "nodes")
 
-    packed = docs.mapInArrow(lambda b: _signed(b, size, num, den, parts), "p int, sig binary, node binary")
-    pairs = packed.repartition(parts, "p").mapInArrow(_meet, "a long, b long")
+    # A set has a signature for each six elements or so, mostly in two bands, of 16 bytes.
+    meet = max(parts, 6 * (nodes.agg(F.sum("n")).first()[0] or 0) // MEET_BYTES)
+    packed = docs.mapInArrow(lambda b: _signed(b, size, num, den, 4 * meet), "p int, sig binary, node binary")
+    pairs = packed.repartition(meet, "p").mapInArrow(_meet, "a long, b long")
     stars = scratch.save(pairs.distinct(), "stars")
     clusters = components(scratch, stars, "candidates")
     clusters = scratch.save(clusters.join(nodes, "node"), "candidates")
 
     tiles = tiled(scratch, clusters, "bits", num, den, block, BLOCK_BITS)
-    bits = ids.where("n > 0").select(F.col("doc_id").alias("first"), "node", "n", "bits")
+    bits = ids.where("n > 0").select(F.col("doc_id").alias("first"), "node", "n", "bits").dropDuplicates(["first", "node"])
     tiles = tiles.join(bits, ["first", "node"]).drop("first").repartition(parts, "tile").sortWithinPartitions("tile", "node")
     alike = scratch.save(tiles.mapInArrow(lambda b: _screen(b, num, den), "a long, b long"), "alike")
     clusters = scratch.save(components(scratch, alike, "alike").join(nodes, "node"), "clusters")
@@ -211,8 +215,9 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, bloc
         scratch.drop(t)
     of = scratch.save(nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "of")
     least = scratch.save(of.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min("first").alias("least")), "least")
-    named = scratch.save(of.join(least, "component", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")
-    return ids.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = scratch.save(of.join(least, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.col("component").alias("grp")), "named")
+    some = lambda c, other: F.when(F.col("n") > 0, F.col(c)).otherwise(other).alias(c)
+    return ids.join(named, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), some("component_id", F.col("doc_id")), some("grp", F.lit(None)))
 
 
 def _ids(batches, size):
@@ -223,7 +228,7 @@ def _ids(batches, size):
             n.append(len(s))
             node.append(set_id(s))
             bits.append(parity(s).tobytes() if len(s) else b"")
-        yield rows_out(["doc_id", "n", "node", "bits"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [b.column("doc_id").to_pylist(), n, node, bits])
+        yield rows_out(["doc_id", "row", "n", "node", "bits"], [*[pa.int64()] * 4, pa.binary()], [b.column("doc_id"), b.column("row"), n, node, bits])
 
 
 def _sets(batches, size):

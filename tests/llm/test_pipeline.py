@@ -56,3 +56,28 @@ def test_mixing_keeps_the_target_of_a_hot_source(spark):
     assert got and max(map(got.count, set(got))) <= 2
     for s in sources:
         assert abs(sum(words[i] for i in got if docs[i][2] == s) - want[s]) <= 400, s
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    w, v, u = (" ".join("%s%d" % (c, k) for k in range(40)) for c in "wvu")
+    rows = [(1, w), (2, w + " x"), (5, v), (5, v), (5, u), (6, u), (5, v + " y"), (7, None), (8, ""), (None, w), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("grp", F.lit("own"))
+    got = sorted(((r["doc_id"], r["text"], r["grp"]) for r in P.near_duplicates(spark, docs, "").collect()), key=repr)
+    five = [r for r in got if r[0] == 5]
+    assert [r for r in got if r[0] != 5] == sorted([(1, w, "own"), (7, None, "own"), (7, " ", "own"), (8, "", "own"), (None, w, "own")], key=repr)
+    assert len(five) == 2 and sum(r[1] == u for r in five) == 1
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score int, n_lines string, n_removed string, times string"
+    none = spark.createDataFrame([], schema)
+    own = spark.createDataFrame([(1, "some words here\nand more", "en", "s", 20, "own", 7, "a", "b", "c"), (2, "other text", None, None, 9, "own", 7, "a", "b", "c")], schema)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, none, "")
+        assert out.columns == none.columns and out.collect() == [], name
+        for r in stage(spark, own, "").collect():
+            assert (r["lang_pred"], r["score"], r["n_lines"], r["n_removed"], r["times"]) == ("own", 7, "a", "b", "c"), name
