@@ -64,7 +64,8 @@ def named(keys: DataFrame, scratch: Scratch, to: str, rows_repeat: bool = False)
     at = F.struct(*DOC, "line")
     first = keys.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").drop("last")
     first = scratch.save(first.orderBy("a", "b").withColumn("name", F.monotonically_increasing_id()), f"{to}-first")
-    out = keys.join(first, ["a", "b"]).select(*DOC, "line", "name", (F.col("first") != at).alias("later"))
+    # Always a merge join, so that the plan is the same at every size.
+    out = keys.join(first.hint("merge"), ["a", "b"]).select(*DOC, "line", "name", (F.col("first") != at).alias("later"))
     out = scratch.save(out.distinct() if rows_repeat else out, to)
     scratch.drop(f"{to}-first")
     return out
@@ -95,5 +96,5 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, scratch: Scratch |
                   - if(i = 0, 0, runs__cairn[greatest(i - 1, 0)].hi + 1)))), '\\n')""")
     text = F.when(F.col("runs__cairn").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text")
     gone = F.coalesce(F.aggregate("runs__cairn", F.lit(0), lambda a, r: a + r["hi"] - r["lo"] + 1), F.lit(0))
-    out = keyed.join(runs, DOC, "left")
+    out = keyed.join(runs.hint("merge"), DOC, "left")
     return out.select(*[text if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
