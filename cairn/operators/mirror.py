@@ -146,3 +146,32 @@ def map_by(kind: str, **mappers):
     if name not in mappers:
         raise ValueError(f"no mapper {name}: one of {sorted(mappers)}")
     return mappers[name](arg)
+
+
+def tag_names(tags: DataFrame) -> DataFrame:
+    """tags(tag, ...) that are names: those with a ':' are not."""
+    return tags.where(~F.col("tag").contains(":"))
+
+
+def kept_entries(entries: DataFrame, yanked: bool = False) -> DataFrame:
+    """Stored entries(yanked, ...) that are not yanked, or all."""
+    return entries if yanked else entries.where(F.col("yanked").isNull())
+
+
+def current_version(documents: DataFrame, version: str) -> DataFrame:
+    """documents(api_version, ...) of the current version only: others are not to be pulled by id."""
+    return documents.where(F.col("api_version") == version)
+
+
+def artifact_files(artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """artifacts(digest, ...) with the path of a file(digest, path) of that content, the least by name."""
+    return artifacts.join(files.groupBy("digest").agg(F.min("path").alias("path")), "digest")
+
+
+def set_add(items: Column, item: Column) -> Column:
+    """A set as a sorted array, with one more."""
+    return F.array_sort(F.array_union(items, F.array(item)))
+
+
+def set_remove(items: Column, item: Column) -> Column:
+    return F.array_sort(F.array_remove(F.array_distinct(items), item))

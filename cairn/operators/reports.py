@@ -118,3 +118,8 @@ def verified(signatures: DataFrame) -> DataFrame:
 def signature_summary(signatures: DataFrame) -> DataFrame:
     """(subject, signatures): JSON list of signatures(subject, digest, annotations) by digest, for events."""
     return signatures.groupBy("subject").agg(F.to_json(F.array_sort(F.collect_list(F.struct("digest", "annotations")))).alias("signatures"))
+
+
+def by_coverage(rows: DataFrame) -> DataFrame:
+    """rows(platform, coverage) from the highest number down, ties by name."""
+    return rows.orderBy(F.desc("coverage"), "platform")

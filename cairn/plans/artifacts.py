@@ -471,3 +471,53 @@ def agg20_subdag_size(spark, d):
     e = V.edges(spark, d)
     nodes = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct().withColumn("size", F.length("node").cast("long"))
     return G.subdag_size(e, V.read(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node")), nodes)
+
+
+# ---------------------------------------------------------------- small filters, sorts and sets
+
+
+@query("""select doc_id, 'v' || lang as tag from documents where doc_id % 3 > 0 and lang is not null""")
+def flt19_tag_names(spark, d):
+    tag = F.concat(F.when(F.col("doc_id") % 3 == 0, "sha256:").otherwise("v"), "lang")
+    return M.tag_names(docs(spark, d).select("doc_id", tag.alias("tag")))
+
+
+@query(f"with {V.WHEELS} select p_partkey, filename from wheels where yanked is null")
+def flt18_kept_entries(spark, d):
+    return M.kept_entries(V.wheels(spark, d)).select("p_partkey", "filename")
+
+
+@query("""select event_id from events where ts > (select min(ts) + interval '1 day' from events)""")
+def flt21_updated_since(spark, d):
+    e = V.read(spark, d, "events")
+    first = e.agg((F.min("ts") + F.expr("interval 1 day")).alias("t")).first()[0]
+    return M.updated_since(e.withColumnRenamed("ts", "mtime"), F.lit(first).cast(e.schema["ts"].dataType)).select("event_id")
+
+
+@query("""select c_custkey from customer where c_custkey % 2 = 0""")
+def flt24_current_version(spark, d):
+    c = V.read(spark, d, "customer").withColumn("api_version", F.when(F.col("c_custkey") % 2 == 0, "v1").otherwise("v0"))
+    return M.current_version(c, "v1").select("c_custkey")
+
+
+@query(f"with {V.BLOBS} select b.doc_id, m.path from blobs b join (select digest, min('f/' || doc_id) as path from blobs group by 1) m using (digest)")
+def jn26_artifact_files(spark, d):
+    b = V.blobs(spark, d)
+    return M.artifact_files(b.select("doc_id", "digest"), b.select("digest", F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"))).select("doc_id", "path")
+
+
+@query("""select conv_id, array_to_string(list_sort(list_distinct(list_append(list(role), 'tool'))), ',') as added, array_to_string(list_sort(list_filter(list_distinct(list(role)), lambda x: x <> 'user')), ',') as removed from conversations where role is not null group by 1""")
+def agg23_sets(spark, d):
+    c = V.read(spark, d, "conversations").where("role is not null").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
+    show = lambda x: F.array_join(x, ",")
+    return c.select("conv_id", show(M.set_add(F.col("r"), F.lit("tool"))).alias("added"), show(M.set_remove(F.col("r"), F.lit("user"))).alias("removed"))
+
+
+@query("""with c as (select l_shipmode_or as platform, round(count(*) * 100.0 / (select count(*) from lineitem), 2)::double as coverage from (select l_returnflag || l_linestatus as l_shipmode_or from lineitem) group by 1)
+    select platform, coverage, row_number() over (order by coverage desc, platform)::bigint as place from c""")
+def srt05_by_coverage(spark, d):
+    li = V.read(spark, d, "lineitem")
+    n = li.count()
+    c = li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("platform")).agg(F.round(F.count("*") * 100.0 / F.lit(n), 2).alias("coverage"))
+    # A handful of rows: flags by status.
+    return T.by_coverage(c).withColumn("place", F.row_number().over(Window.orderBy(F.desc("coverage"), "platform")).cast("long"))
