@@ -794,4 +794,4 @@ def str05_batch_serialize(spark, d):
     return known
 
 
-from cairn.plans import artifacts  # noqa: E402, F401  its queries register here
+from cairn.plans import artifacts, cache  # noqa: E402, F401  their queries register here

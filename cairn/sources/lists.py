@@ -80,3 +80,41 @@ LEDGER = T.StructType([T.StructField(n, t) for n, t in (("seq", T.LongType()), (
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).json(path)
+
+
+def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header line and '#' comments, blanks before a field cut."""
+    return spark.read.schema(schema).csv(path, header=True, comment="#", ignoreLeadingWhiteSpace=True, enforceSchema=True)
+
+
+def read_gather_list(spark: SparkSession, path: str) -> DataFrame:
+    """(name, image) of a batch's list. A name that comes twice keeps its greatest image."""
+    return _csv(spark, path, "name string, image string").where("name is not null").groupBy("name").agg(F.max("image").alias("image"))
+
+
+def read_tracker(spark: SparkSession, path: str) -> DataFrame:
+    """(number, name, artifact, digest) of a batch's tracker; a file name must be ``number-name.ext``, with one '-', else it is an error."""
+    rows = _csv(spark, path, "sync_name string, artifact string, digest string")
+    good = F.col("sync_name").rlike(r"^[0-9]+-[^-]*$")
+    told = F.when(good, F.col("sync_name")).otherwise(F.raise_error(F.concat(F.lit("unexpected tar file name "), "sync_name")).cast("string"))
+    part = F.split(told, "-")
+    return rows.select(part[0].cast("long").alias("number"), F.substring_index(part[1], ".", 1).alias("name"), "artifact", "digest")
+
+
+def source_refs(listed: DataFrame | None = None, gathered: DataFrame | None = None) -> DataFrame:
+    """(ref, pinned) to work on: of a gather artifact gathered(ref, pinned) if there is one, else each of listed(name) as itself."""
+    if gathered is not None:
+        return gathered.select("ref", "pinned")
+    if listed is None:
+        raise ValueError("neither a list of sources nor a gather artifact")
+    return listed.select(F.col("name").alias("ref"), F.col("name").alias("pinned"))
+
+
+def read_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, digest, content) of every file below a folder; a folder that is not there holds none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    schema = "path string, digest string, content binary"
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), "content")
