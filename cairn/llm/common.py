@@ -212,14 +212,6 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES):
         i = j
 
 
-def pack_by(p: np.ndarray, n: int, columns: list[np.ndarray]) -> list[tuple[int, list[bytes]]]:
-    """Rows gathered by bucket p < n: (bucket, bytes of each column)."""
-    order = np.argsort(p, kind="stable")
-    cut = np.searchsorted(p[order], np.arange(n + 1))
-    cols = [c[order] for c in columns]
-    return [(b, [c[cut[b] : cut[b + 1]].tobytes() for c in cols]) for b in range(n) if cut[b] < cut[b + 1]]
-
-
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, by block prefixes and suffixes."""
     n = len(a)

@@ -8,9 +8,12 @@ Candidates, exactly: linked sets of a band differ in at most k elements, k being
 ``2 (1 - t) / (1 + t)`` of the band's largest size. The hash range is cut into K > k parts; at least K - k
 parts of two linked sets are equal, so they share a signature (the hash of a part's elements)
 unless all of the equal parts are empty, for which the sets of a band with so many empty parts have one
-key more. A part holds some six elements, so that a passage that many documents share makes no
-candidates; only sets that are alike nearly everywhere meet. Signatures are shuffled as packed
-arrays and give star links, whose components are the candidate clusters.
+key more. With a signature goes a sketch of the next eight parts on the ring of parts, a byte of parity bits each. If part j
+differs in d(j) elements, the sum of 1 - d(j) over the ring is at least K - k, so by the cycle lemma at least K - k parts are such that
+the j parts after them differ in at most j elements, for every j. So those that share a signature are linked only if the bytes say that
+this may hold, and a passage that many documents share makes no candidates; only sets that are alike nearly everywhere meet. (The key of sets with many
+empty parts has a parity bitmap of the whole set instead, bound by k.) Of equal signatures and sketches one goes on from each task, and
+each task gives star links of the groups that it has found, whose components are the candidate clusters.
 
 A cluster's members of a band, and those of the band below that are large enough, form a tile; tiles of over ``BLOCK``
 members or a number of elements are cut into pairs of blocks. In a tile a set is compared with those not yet
@@ -32,15 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, Words, components, grams, mix, n_parts, pack_by, ranges_hash, rows_out, sorted_groups, start_task, text_chunks
+from cairn.llm.common import Scratch, Words, components, find_roots, grams, mix, n_parts, ranges_hash, rows_out, sorted_groups, start_task, text_chunks
 
 SIZE = 4
 NUM, DEN = 85, 100
 #: Sets in a block, and elements in a block of bitmaps or of sets.
 BLOCK, BLOCK_BITS, BLOCK_GRAMS = 1024, 32_000_000, 2_000_000
 BROADCAST_ROWS = 1_000_000
-#: Bytes of signatures that one task sorts.
-MEET_BYTES = 64 << 20
+#: Bytes of signatures and sketches that one task sorts, and the signatures that a task gathers before it sends them.
+MEET_BYTES, SEND = 64 << 20, 1_000_000
+#: Parts after its own that a signature's sketch covers, and the bits of the first so many of them.
+CHAIN = 8
+FIRST_PARTS = [(1 << 8 * j) - 1 for j in range(CHAIN)]
+#: Up to so many sketches of one signature are compared by shifted arrays, more one by one with those not yet connected.
+SHIFTS = 32
 _U = np.uint64
 
 
@@ -92,20 +100,98 @@ class Bands:
         return n * self.den >= self.starts[band + 1] * self.num
 
 
-def signatures(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
+def signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, sketch) of each part that is not empty; the lowest bit of a signature tells the key of sets with many empty parts."""
     parts = int(bands.parts[band])
     tag = _U((band + 1) * 0x9E3779B97F4A7C15 % 2**64)
     if parts == 1:
-        return mix(total(s) + tag)
+        return mix(total(s) + tag) & ~_U(1), np.zeros(1, _U)
     part = ((s >> _U(32)) * _U(parts)) >> _U(32)
     start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    sig = mix(np.add.reduceat(mix(s ^ _U(0xA5A5A5A5)), start) + mix(part[start] + tag))
+    at = part[start].astype(np.int64)
+    sig = mix(np.add.reduceat(mix(s ^ _U(0xA5A5A5A5)), start) + mix(part[start] + tag)) & ~_U(1)
+    chain = min(CHAIN, parts - 1)
+    ring = np.zeros(parts + chain, np.uint8)
+    ring[at] = np.bitwise_xor.reduceat(np.left_shift(1, (s & _U(7)).astype(np.uint8), dtype=np.uint8), start)
+    ring[parts:] = ring[:chain]
+    after = np.zeros((len(at), CHAIN), np.uint8)
+    after[:, :chain] = np.lib.stride_tricks.sliding_window_view(ring, chain)[at + 1]
+    sketch = after.view("<u8").ravel()
     slack = parts - int(bands.k[band])  # so many parts of linked sets are equal at least
     empty = parts - len(start)
     if empty >= slack:
-        # All equal parts may be empty: such sets, of which there are few, meet by a key of the band.
-        sig = np.concatenate([sig, mix(np.array([0x5E7], _U) + tag)])
-    return sig
+        # All equal parts may be empty: such sets, of which there are few, meet by a key of the band, with its k in the top byte.
+        odd = np.bincount((s % _U(56)).astype(np.int64), minlength=56) & 1
+        whole = np.packbits(np.append(odd, np.zeros(8, np.int64)).astype(np.uint8), bitorder="little").view("<u8")
+        sig = np.concatenate([sig, mix(np.array([0x5E7], _U) + tag) | _U(1)])
+        sketch = np.concatenate([sketch, whole | _U(min(int(bands.k[band]), 255) << 56)])
+    return sig, sketch
+
+
+def near(sketch: np.ndarray, other: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Places where two sketches of one signature allow a link."""
+    x = sketch ^ other
+    bits = np.bitwise_count(x)
+    c = np.flatnonzero(np.where(whole, bits <= (sketch >> _U(56)), bits <= CHAIN))
+    x, whole = x[c], whole[c]
+    ok = np.ones(len(c), bool)
+    for j in range(1, CHAIN):
+        ok &= whole | (np.bitwise_count(x & _U(FIRST_PARTS[j])) <= j)
+    return c[ok]
+
+
+def alike(sig: np.ndarray, sketch: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the nodes of each signature whose sketches allow it, of rows sorted by signature."""
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(sig)))
+    a, b = [node[:0]], [node[:0]]
+    for i, m in zip(start[size > SHIFTS].tolist(), size[size > SHIFTS].tolist(), strict=True):
+        sk, of = sketch[i : i + m], node[i : i + m]
+        whole = np.full(m, bool(sig[i] & _U(1)))
+        rest, left, queue = np.arange(m), sk, []
+        while len(rest):
+            if not queue:
+                queue.append(int(rest[-1]))
+                rest, left = rest[:-1], left[:-1]
+            v = queue.pop()
+            hit = near(left, sk[v], whole[: len(rest)])
+            if len(hit):
+                a.append(of[rest[hit]])
+                b.append(np.full(len(hit), of[v]))
+                queue += rest[hit].tolist()
+                rest, left = np.delete(rest, hit), np.delete(left, hit)
+    some = np.repeat((size > 1) & (size <= SHIFTS), size)
+    sig, sketch, node = sig[some], sketch[some], node[some]
+    for o in range(1, SHIFTS):
+        i = np.flatnonzero(sig[o:] == sig[:-o]) if o < len(sig) else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        i = i[near(sketch[i], sketch[i + o], (sig[i] & _U(1)).astype(bool))]
+        a.append(node[i])
+        b.append(node[i + o])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def collapse(sig: np.ndarray, sketch: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sig, sketch, node) of one row of each equal signature and sketch, by signature, and the links of the others with it."""
+    order = np.argsort(sig, kind="stable")
+    sig, sketch, node = sig[order], sketch[order], node[order]
+    again = np.concatenate([[False], sig[1:] == sig[:-1]])
+    again[:-1] |= again[1:]
+    at = np.flatnonzero(again)
+    to = at[np.lexsort((node[at], sketch[at], sig[at]))]
+    sketch[at], node[at] = sketch[to], node[to]
+    first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (sketch[1:] != sketch[:-1])])
+    stands = node[first][np.cumsum(first) - 1]
+    return sig[first], sketch[first], node[first], node[~first], stands[~first]
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node) of the groups that the links a-b join."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = find_roots(len(nodes), at[: len(a)], at[len(a) :])
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[far], nodes[root[far]]
 
 
 def may_link(a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -189,19 +275,19 @@ def grouped(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, b
     ids = scratch.save(docs.mapInArrow(lambda b: _ids(b, size), "doc_id long, row long, n long, node long, bits binary"), "ids")
     nodes = scratch.save(ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("n")), "nodes")
 
-    # A set has a signature for each six elements or so, mostly in two bands, of 16 bytes.
-    meet = max(parts, 6 * (nodes.agg(F.sum("n")).first()[0] or 0) // MEET_BYTES)
-    packed = docs.mapInArrow(lambda b: _signed(b, size, num, den, 4 * meet), "p int, sig binary, node binary")
+    # A set has a signature for each five elements or so, mostly in two bands, of 24 bytes with its sketch.
+    meet = max(parts, 10 * (nodes.agg(F.sum("n")).first()[0] or 0) // MEET_BYTES)
+    packed = docs.mapInArrow(lambda b: _signed(b, size, num, den, 4 * meet), "p int, sig binary, sketch binary, node binary")
     pairs = packed.repartition(meet, "p").mapInArrow(_meet, "a long, b long")
-    stars = scratch.save(pairs.distinct(), "stars")
-    clusters = components(scratch, stars, "candidates")
+    met = scratch.save(pairs.distinct(), "stars")
+    clusters = components(scratch, met, "candidates")
     clusters = scratch.save(clusters.join(nodes, "node"), "candidates")
 
     tiles = tiled(scratch, clusters, "bits", num, den, block, BLOCK_BITS)
     bits = ids.where("n > 0").select(F.col("doc_id").alias("first"), "node", "n", "bits").dropDuplicates(["first", "node"])
     tiles = tiles.join(bits, ["first", "node"]).drop("first").repartition(parts, "tile").sortWithinPartitions("tile", "node")
-    alike = scratch.save(tiles.mapInArrow(lambda b: _screen(b, num, den), "a long, b long"), "alike")
-    clusters = scratch.save(components(scratch, alike, "alike").join(nodes, "node"), "clusters")
+    screened = scratch.save(tiles.mapInArrow(lambda b: _screen(b, num, den), "a long, b long"), "alike")
+    clusters = scratch.save(components(scratch, screened, "alike").join(nodes, "node"), "clusters")
     tiles = tiled(scratch, clusters, "sets", num, den, block, BLOCK_GRAMS)
     # The sets are made again from the texts of the members and go straight to their tiles.
     few = tiles.groupBy("first").agg(F.collect_list(F.struct("node", "small", "mine", "inner", "tile")).alias("to")).select(F.col("first").alias("doc_id"), "to")
@@ -239,14 +325,20 @@ def _sets(batches, size):
 
 
 def _signed(batches, size, num, den, parts):
+    """Signatures by ranges of them, and the links of what met in this task already, as rows without signatures."""
     start_task()
     bands, seen = Bands(num, den), set()
-    sigs, nodes, have = [], [], 0
+    sigs, sketches, nodes, have = [], [], [], 0
 
     def flush():
-        sig, node = np.concatenate(sigs), np.concatenate(nodes)
-        rows = pack_by((sig % _U(parts)).astype(np.int64), parts, [sig, node])
-        return rows_out(["p", "sig", "node"], [pa.int32(), pa.binary(), pa.binary()], [[r[0] for r in rows], [r[1][0] for r in rows], [r[1][1] for r in rows]])
+        sig, sketch, node, a, b = collapse(np.concatenate(sigs), np.concatenate(sketches), np.concatenate(nodes))
+        at = (((sig >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+        cut = np.searchsorted(at, np.arange(parts + 1))
+        rows = [(p, *[c[cut[p] : cut[p + 1]].tobytes() for c in (sig, sketch, node)]) for p in np.flatnonzero(np.diff(cut)).tolist()]
+        if len(a):
+            a, b = stars(a, b)
+            rows.append((int(a[0] % parts), b"", a.tobytes(), b.tobytes()))
+        return rows_out(["p", "sig", "sketch", "node"], [pa.int32(), *[pa.binary()] * 3], list(zip(*rows, strict=True)))
 
     for b in batches:
         for _, s in shingle_sets(b.column("text"), size):
@@ -255,13 +347,14 @@ def _signed(batches, size, num, den, parts):
             seen.add(i)
             band = int(bands.of(len(s)))
             for at in (band, band + 1) if bands.reaches_up(len(s), band) else (band,):
-                sig = signatures(s, at, bands)
+                sig, sketch = signatures(s, at, bands)
                 sigs.append(sig)
+                sketches.append(sketch)
                 nodes.append(np.full(len(sig), i, np.int64))
                 have += len(sig)
-            if have >= 2_000_000:
+            if have >= SEND:
                 yield flush()
-                sigs, nodes, have = [], [], 0
+                sigs, sketches, nodes, have = [], [], [], 0
         if len(seen) > 1_000_000:
             seen.clear()
     if have:
@@ -269,29 +362,23 @@ def _signed(batches, size, num, den, parts):
 
 
 def _meet(batches):
-    """Star links (member, smallest member) of the nodes that share a signature."""
+    """Star links of the nodes that share a signature with sketches that allow a link."""
     start_task()
-    sig, node = [], []
+    rows, links = [], []
     for b in batches:
-        sig += b.column("sig").to_pylist()
-        node += b.column("node").to_pylist()
-    if not sig:
-        return
-    sig, node = np.frombuffer(b"".join(sig), _U), np.frombuffer(b"".join(node), np.int64)
-    order = np.argsort(sig, kind="stable")
-    s = sig[order]
-    again = np.concatenate([[False], s[1:] == s[:-1]])
-    again[:-1] |= again[1:]
-    order = order[again]
-    sig, node = sig[order], node[order]
-    if not len(sig):
+        for sig, sketch, node in zip(*[b.column(c).to_pylist() for c in ("sig", "sketch", "node")], strict=True):
+            (rows if sig else links).append((sig, sketch, node))
+    sig, sketch, node = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((_U, _U, np.int64)))
+    a, b = (np.frombuffer(b"".join(r[i] for r in links), np.int64) for i in (1, 2))
+    del rows, links
+    if len(sig):
+        sig, sketch, node, *same = collapse(sig, sketch, node)
+        a, b = (np.concatenate(x) for x in zip((a, b), same, alike(sig, sketch, node), strict=True))
+    if not len(a):
         return
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    low = np.repeat(np.minimum.reduceat(node, start), np.diff(np.append(start, len(sig))))
-    pairs = np.unique(np.stack([node, low], 1)[node != low], axis=0)
-    for i in range(0, len(pairs), 50_000):
-        part = pairs[i : i + 50_000]
-        yield rows_out(["a", "b"], [pa.int64(), pa.int64()], [part[:, 0].copy(), part[:, 1].copy()])
+    a, b = stars(a, b)
+    for i in range(0, len(a), 50_000):
+        yield rows_out(["a", "b"], [pa.int64(), pa.int64()], [a[i : i + 50_000], b[i : i + 50_000]])
 
 
 def _screen(batches, num, den):

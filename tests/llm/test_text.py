@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,42 @@ def test_jaccard(spark, seed, size, num):
     assert got == brute.jaccard(docs, size, num, 100)
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_jaccard_signatures_miss_no_link(num):
+    """Sets that link share a signature whose sketches allow it, whatever their size; empty parts included."""
+    rng = np.random.default_rng(num)
+    bands = jaccard.Bands(num, 100)
+    for n in [*range(1, 60), *range(60, 400, 23), 1000]:
+        for _ in range(20):
+            one = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone, more = rng.integers(0, max(1, n // 6) + 1, 2)
+            other = np.unique(np.concatenate([rng.permutation(one)[gone:], rng.integers(0, 2**64, more, dtype=np.uint64)]))
+            both = len(np.intersect1d(one, other))
+            if not len(other) or 100 * both < num * (len(one) + len(other) - both):
+                continue
+            low, high = sorted((one, other), key=len)
+            band = int(bands.of(len(high)))
+            sets = [jaccard.signatures(s, band, bands) for s in (low, high)]
+            assert int(bands.of(len(low))) == band or (int(bands.of(len(low))) == band - 1 and bands.reaches_up(len(low), band - 1))
+            sig, sketch = (np.concatenate(x) for x in zip(*sets, strict=True))
+            node = np.concatenate([np.full(len(s[0]), i) for i, s in enumerate(sets)])
+            sig, sketch, node, *same = jaccard.collapse(sig, sketch, node)
+            assert len(same[0]) or len(jaccard.alike(sig, sketch, node)[0])
+
+
+def test_jaccard_many_sketches_of_one_signature():
+    """A signature of more sketches than are compared by shifted arrays joins what a comparison of all pairs joins."""
+    rng = np.random.default_rng(5)
+    sketch = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64) & rng.integers(0, 2**64, 300, dtype=np.uint64) & np.uint64(0x0301030103010301))
+    m = len(sketch)
+    assert m > jaccard.SHIFTS
+    sig, node = np.full(m, 8, np.uint64), np.arange(m)
+    i, j = np.triu_indices(m, 1)
+    c = jaccard.near(sketch[i], sketch[j], np.zeros(len(i), bool))
+    want, got = jaccard.stars(i[c], j[c]), jaccard.stars(*jaccard.alike(sig, sketch, node))
+    assert 0 < len(want[0]) < m and [x.tolist() for x in want] == [x.tolist() for x in got]
+
+
 def test_jaccard_band_edges(spark):
     rng = __import__("random").Random(5)
     docs = []
