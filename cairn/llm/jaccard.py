@@ -10,7 +10,7 @@ parts of two linked sets are equal, so they share a signature (the hash of a par
 unless all of the equal parts are empty, for which the sets of a band with so many empty parts have one
 key more. With a signature goes a sketch of the next eight parts on the ring of parts, a byte of parity bits each. If part j
 differs in d(j) elements, the sum of 1 - d(j) over the ring is at least K - k, so by the cycle lemma at least K - k parts are such that
-the j parts after them differ in at most j elements, for every j. So those that share a signature are linked only if the bytes say that
+the j parts after them differ in at most j elements, for every j. A set's own size may make its k smaller and the starts more. So those that share a signature are linked only if the bytes say that
 this may hold, and a passage that many documents share makes no candidates; only sets that are alike nearly everywhere meet. (The key of sets with many
 empty parts has a parity bitmap of the whole set instead, bound by k.) Of equal signatures and sketches one goes on from each task, and
 each task gives star links of the groups that it has found, whose components are the candidate clusters.
@@ -44,9 +44,9 @@ BLOCK, BLOCK_BITS, BLOCK_GRAMS = 1024, 32_000_000, 2_000_000
 BROADCAST_ROWS = 1_000_000
 #: Bytes of signatures and sketches that one task sorts, and the signatures that a task gathers before it sends them.
 MEET_BYTES, SEND = 64 << 20, 1_000_000
-#: Parts after its own that a signature's sketch covers, and the bits of the first so many of them.
+#: Parts after its own that a signature's sketch covers, a byte each in words of 64 bits.
 CHAIN = 8
-FIRST_PARTS = [(1 << 8 * j) - 1 for j in range(CHAIN)]
+WORDS = CHAIN // 8
 #: Up to so many sketches of one signature are compared by shifted arrays, more one by one with those not yet connected.
 SHIFTS = 32
 _U = np.uint64
@@ -89,12 +89,17 @@ class Bands:
         self.starts = np.array(starts, np.int64)
         top = self.starts[1:] - 1
         self.k = 2 * (den - num) * top // (den + num)
+        self.top = top
         #: Parts: room for a few empty ones.
         self.parts = np.where(self.k == 0, 1, self.k + 2 + self.k // 16 + (self.k < 12))
 
     def of(self, n) -> np.ndarray:
         return np.searchsorted(self.starts, n, "right") - 1
 
+    def most(self, n: int, band: int) -> int:
+        """Elements in which a set of n and one of the band or the band below, neither over the band's top, may differ and link."""
+        return (n + min(int(self.top[band]), n * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
+
     def reaches_up(self, n, band) -> np.ndarray:
         """Can a set of n in band link with one of the next band?"""
         return n * self.den >= self.starts[band + 1] * self.num
@@ -105,7 +110,7 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.n
     parts = int(bands.parts[band])
     tag = _U((band + 1) * 0x9E3779B97F4A7C15 % 2**64)
     if parts == 1:
-        return mix(total(s) + tag) & ~_U(1), np.zeros(1, _U)
+        return mix(total(s) + tag) & ~_U(1), np.zeros((1, WORDS), _U)
     part = ((s >> _U(32)) * _U(parts)) >> _U(32)
     start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     at = part[start].astype(np.int64)
@@ -116,28 +121,26 @@ def signatures(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.n
     ring[parts:] = ring[:chain]
     after = np.zeros((len(at), CHAIN), np.uint8)
     after[:, :chain] = np.lib.stride_tricks.sliding_window_view(ring, chain)[at + 1]
-    sketch = after.view("<u8").ravel()
-    slack = parts - int(bands.k[band])  # so many parts of linked sets are equal at least
+    sketch = after.view("<u8")
+    slack = parts - bands.most(len(s), band)  # so many starts of chains are there in sets that link with this one at least
     empty = parts - len(start)
     if empty >= slack:
         # All equal parts may be empty: such sets, of which there are few, meet by a key of the band, with its k in the top byte.
-        odd = np.bincount((s % _U(56)).astype(np.int64), minlength=56) & 1
-        whole = np.packbits(np.append(odd, np.zeros(8, np.int64)).astype(np.uint8), bitorder="little").view("<u8")
+        odd = np.bincount((s % _U(64 * WORDS - 8)).astype(np.int64), minlength=64 * WORDS) & 1
+        whole = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+        whole[-1] |= _U(min(int(bands.k[band]), 255) << 56)
         sig = np.concatenate([sig, mix(np.array([0x5E7], _U) + tag) | _U(1)])
-        sketch = np.concatenate([sketch, whole | _U(min(int(bands.k[band]), 255) << 56)])
+        sketch = np.concatenate([sketch, whole[None]])
     return sig, sketch
 
 
 def near(sketch: np.ndarray, other: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Places where two sketches of one signature allow a link."""
     x = sketch ^ other
-    bits = np.bitwise_count(x)
-    c = np.flatnonzero(np.where(whole, bits <= (sketch >> _U(56)), bits <= CHAIN))
-    x, whole = x[c], whole[c]
-    ok = np.ones(len(c), bool)
-    for j in range(1, CHAIN):
-        ok &= whole | (np.bitwise_count(x & _U(FIRST_PARTS[j])) <= j)
-    return c[ok]
+    bits = np.bitwise_count(x).sum(1)
+    c = np.flatnonzero(np.where(whole, bits <= (sketch[:, -1] >> _U(56)), bits <= CHAIN))
+    differ = np.cumsum(np.bitwise_count(np.ascontiguousarray(x[c]).view(np.uint8)), axis=1)  # in the first 1, 2, .. parts
+    return c[whole[c] | (differ <= np.arange(1, CHAIN + 1)).all(1)]
 
 
 def alike(sig: np.ndarray, sketch: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +162,7 @@ def alike(sig: np.ndarray, sketch: np.ndarray, node: np.ndarray) -> tuple[np.nda
                 a.append(of[rest[hit]])
                 b.append(np.full(len(hit), of[v]))
                 queue += rest[hit].tolist()
-                rest, left = np.delete(rest, hit), np.delete(left, hit)
+                rest, left = np.delete(rest, hit), np.delete(left, hit, axis=0)
     some = np.repeat((size > 1) & (size <= SHIFTS), size)
     sig, sketch, node = sig[some], sketch[some], node[some]
     for o in range(1, SHIFTS):
@@ -179,9 +182,9 @@ def collapse(sig: np.ndarray, sketch: np.ndarray, node: np.ndarray) -> tuple[np.
     again = np.concatenate([[False], sig[1:] == sig[:-1]])
     again[:-1] |= again[1:]
     at = np.flatnonzero(again)
-    to = at[np.lexsort((node[at], sketch[at], sig[at]))]
+    to = at[np.lexsort((node[at], *sketch[at].T, sig[at]))]
     sketch[at], node[at] = sketch[to], node[to]
-    first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (sketch[1:] != sketch[:-1])])
+    first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (sketch[1:] != sketch[:-1]).any(1)])
     stands = node[first][np.cumsum(first) - 1]
     return sig[first], sketch[first], node[first], node[~first], stands[~first]
 
@@ -369,6 +372,7 @@ def _meet(batches):
         for sig, sketch, node in zip(*[b.column(c).to_pylist() for c in ("sig", "sketch", "node")], strict=True):
             (rows if sig else links).append((sig, sketch, node))
     sig, sketch, node = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((_U, _U, np.int64)))
+    sketch = sketch.reshape(-1, WORDS)
     a, b = (np.frombuffer(b"".join(r[i] for r in links), np.int64) for i in (1, 2))
     del rows, links
     if len(sig):

@@ -49,7 +49,8 @@ def test_jaccard_signatures_miss_no_link(num):
 def test_jaccard_many_sketches_of_one_signature():
     """A signature of more sketches than are compared by shifted arrays joins what a comparison of all pairs joins."""
     rng = np.random.default_rng(5)
-    sketch = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64) & rng.integers(0, 2**64, 300, dtype=np.uint64) & np.uint64(0x0301030103010301))
+    some = np.uint64(0x0301030103010301)
+    sketch = np.unique(rng.integers(0, 2**64, (300, jaccard.WORDS), dtype=np.uint64) & rng.integers(0, 2**64, (300, jaccard.WORDS), dtype=np.uint64) & some, axis=0)
     m = len(sketch)
     assert m > jaccard.SHIFTS
     sig, node = np.full(m, 8, np.uint64), np.arange(m)
