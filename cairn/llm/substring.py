@@ -12,8 +12,10 @@ The distinct stretches of an anchor meet in the anchor's shard. Its reference is
 of them nearly always. They stream in doc_id order past a generalised suffix automaton of the references before them:
 matching statistics of ``window`` or more mark words. An anchor with more stretches than ``SALT_ROWS`` has its
 reference sent to as many tasks as that takes, so that a passage that a third of the corpus has, each time in other surroundings, is no hot
-task. Windows that the reference leaves open, in stretches beyond it, are settled by keys of 128 bits each: exact,
-and few to match, as what many documents share stands in the first of them. The automata are not broadcast to every task:
+task. Windows that the reference leaves open, in stretches beyond it, are dealt once more by a second anchor, the smallest of
+another hash among the window's grams that the reference does not have (of all, if it has all): what stands around a hot passage, not the passage.
+Runs of them are one row each and are met as stretches are: a second anchor in one document only
+goes no further, equal runs are one, and only the windows of those left are settled one by one, by keys of 128 bits. The automata are not broadcast to every task:
 the reference is the corpus, so that a broadcast has no bound; a shard's automaton meets the stretches with its anchor only.
 
 Documents of equal word sequences are known by a hash of 128 bits: those after the first lose every
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import Scratch, Words, grams, n_parts, ranges_hash, rows_out, sliding_min, start_task, text_chunks
+from cairn.llm.common import Scratch, Words, grams, mix, n_parts, ranges_hash, rows_out, sliding_min, start_task, text_chunks
 
 WINDOW = 50
 GRAM = 8
@@ -151,15 +153,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, reference: int = REF
     both = F.when(F.col("ref"), F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda i: F.struct(i.alias("salt"), F.when(i == F.col("mine"), 2).otherwise(0).alias("role"))))
     tiles = pieces.select(*content, "doc_id", "open", "words", F.inline(both.otherwise(F.array(F.struct(F.col("mine").alias("salt"), F.lit(1).alias("role"))))))
     tiles = tiles.withColumn("shard", F.xxhash64("m", "salt")).repartition(n_parts(spark), "shard").sortWithinPartitions("shard", "m", "salt", "doc_id", "s1", "s2")
-    found = scratch.save(tiles.mapInArrow(lambda b: _match(b, window), "m long, s1 long, s2 long, doc_id long, lo int, hi int, w1 long, w2 long"), "found")
-
-    left = found.where("w1 is not null")
-    least = scratch.save(left.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "least")
-    late = left.join(least, ["w1", "w2"]).where("doc_id > first").select(*content, "lo", "hi")
-    answers = found.where("w1 is null").select(*content, "lo", "hi").union(late)
+    found = scratch.save(tiles.mapInArrow(lambda b: _match(b, window, gram), "m long, s1 long, s2 long, doc_id long, lo int, hi int, m2 long, c1 long, c2 long, keys binary"), "found")
+
+    left, run = found.where("m2 is not null"), ["m", "m2", "c1", "c2"]
+    runs = scratch.save(left.groupBy(*run).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "runs")
+    again = scratch.save(runs.groupBy("m", "m2").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("m", "m2"), "again")
+    alike = left.drop("keys").join(runs.where("first < last"), run).where("doc_id > first").select(*content, "lo", "hi")
+    unlike = left.join(again, ["m", "m2"]).join(runs.drop("last"), run).where("doc_id = first").select(*content, "doc_id", "lo", "keys")
+    single = scratch.save(unlike.mapInArrow(lambda b: _singles(b, window), "m long, s1 long, s2 long, doc_id long, lo int, hi int, w1 long, w2 long"), "single")
+    least = scratch.save(single.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "least")
+    late = single.join(least, ["w1", "w2"]).where("doc_id > first").select(*content, "lo", "hi")
+    answers = found.where("m2 is null").select(*content, "lo", "hi").union(alike).union(late)
     told = owned.join(answers, content).select(*place, (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
     ranges = scratch.save(covered.union(told).union(copies).groupBy(*place).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    for t in ("stretches", "firsts", "anchors", "shared", "once", "many", "contents", "placed", "spots", "found", "least"):
+    for t in ("stretches", "firsts", "anchors", "shared", "once", "many", "contents", "placed", "spots", "found", "runs", "again", "single", "least"):
         scratch.drop(t)
     return docs.join(ranges, place, "left").mapInArrow(_kept, "doc_id long, kept string, n_words long, n_removed long")
 
@@ -231,52 +238,97 @@ def _pieces(batches, window):
             yield rows_out(names, types, list(zip(*rows, strict=True)))
 
 
-def _match(batches, window):
-    """Ranges of a stretch's words that a smaller document has, and the keys of windows that stay open."""
+def _match(batches, window, gram):
+    """Ranges of a stretch's words that a smaller document has, and the runs of windows that stay open with a key of each."""
     start_task()
-    names, types = ["m", "s1", "s2", "doc_id", "lo", "hi", "w1", "w2"], [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["m", "s1", "s2", "doc_id", "lo", "hi", "m2", "c1", "c2", "keys"]
+    types = [*[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
     out, still = [], []
 
     def flush():
         if out:
-            yield rows_out(names, types, [*zip(*out, strict=True), [None] * len(out), [None] * len(out)])
+            yield rows_out(names, types, [*zip(*out, strict=True), *[[None] * len(out)] * 4])
         if still:
-            raw = [r[4] for r in still]
-            w = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-            at = np.concatenate([w.first[i] + np.array(r[5]) for i, r in enumerate(still)])
-            w1, w2 = (ranges_hash(w.hashes(), at, at + window, x).view(np.int64) for x in (_B1, _B2))
-            lo = [x for r in still for x in r[5]]
-            yield rows_out(names, types, [*([v for r in still for v in [r[c]] * len(r[5])] for c in range(4)), lo, [x + window for x in lo], w1, w2])
-
-    at, was, doc_at, sam, whole, waiting = None, None, None, None, set(), []
+            w = _joined([r[4] for r in still])
+            h = w.hashes()
+            g = grams(h, gram)
+            # Grams that the reference has come last.
+            low = sliding_min((mix(g) >> _U(1)) | (np.isin(g, known).astype(_U) << _U(63)), window - gram + 1)
+            of = np.repeat(np.arange(len(still)), [len(r[5]) for r in still])
+            lo = np.concatenate([r[5] for r in still])
+            at = w.first[of] + lo
+            m2 = low[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (m2[1:] != m2[:-1]) | (of[1:] != of[:-1]) | (lo[1:] != lo[:-1] + 1)
+            s = np.flatnonzero(new)
+            e = np.append(s[1:], len(at))
+            c1, c2 = (ranges_hash(h, at[s], at[e - 1] + window, x).view(np.int64) for x in (_B1, _B2))
+            keys = np.stack([ranges_hash(h, at, at + window, x) for x in (_B1, _B2)], axis=1)
+            mine = [[still[i][c] for i in of[s]] for c in range(4)]
+            yield rows_out(names, types, [*mine, lo[s], lo[e - 1] + window, m2[s].view(np.int64), c1, c2, [keys[i:j].tobytes() for i, j in zip(s, e, strict=True)]])
+
+    at, was, doc_at, sam, refs, waiting, known = None, None, None, None, [], [], None
     for b in batches:
         for m, s1, s2, doc, is_open, raw, salt, role in zip(*(b.column(c).to_pylist() for c in ("m", "s1", "s2", "doc_id", "open", "words", "salt", "role")), strict=True):
             if at != (m, salt):
-                at, sam, whole, waiting, doc_at = (m, salt), Automaton(), set(), [], doc
+                if still:
+                    yield from flush()
+                    out, still = [], []
+                at, sam, refs, waiting, doc_at, known = (m, salt), Automaton(), [], [], doc, None
             elif was == (s1, s2, doc):
                 continue  # a repeated row
             was = (s1, s2, doc)
             if doc != doc_at:  # a document's own stretches are no reference for it
                 for r in waiting:
                     sam.add(r.split(b" "))
-                    whole.add(r)
                 waiting, doc_at = [], doc
             words = raw.split(b" ")
             last = len(words) - window + 1
-            ends = sam.ends(words, window) if whole else []
+            ends = sam.ends(words, window) if refs else []
             if role:
                 out += [(m, s1, s2, doc, x, y) for x, y in merged([e - window for e in ends], window)]
                 if is_open and len(ends) < last:
-                    have = {e - window for e in ends}
-                    still.append((m, s1, s2, doc, raw, [x for x in range(last) if x not in have]))
+                    if known is None:  # the whole reference has come: it goes by doc_id, s1, s2 as the rows do
+                        known = _grams_of(refs, gram)
+                    still.append((m, s1, s2, doc, raw, np.setdiff1d(np.arange(last), np.array(ends, np.int64) - window)))
             if role != 1 and len(ends) < last:
                 waiting.append(raw)
+                refs.append(raw)
             if len(out) > 20_000 or len(still) > 5000:
                 yield from flush()
                 out, still = [], []
     yield from flush()
 
 
+def _joined(raw: list[bytes]) -> Words:
+    return Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def _grams_of(raw: list[bytes], gram: int) -> np.ndarray:
+    """Hashes of the grams of word sequences, none across two of them."""
+    if not raw:
+        return np.zeros(0, _U)
+    w = _joined(raw)
+    g = grams(w.hashes(), gram)
+    at = np.arange(len(g))
+    return np.unique(g[at + gram <= w.first[np.searchsorted(w.first, at, "right")]])
+
+
+def _singles(batches, window):
+    """The windows of runs, by their keys."""
+    start_task()
+    names, types = ["m", "s1", "s2", "doc_id", "lo", "hi", "w1", "w2"], [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    for b in batches:
+        raw = b.column("keys").to_pylist()
+        n = np.array([len(k) // 16 for k in raw], np.int64)
+        if not len(n):
+            continue
+        keys = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+        mine = [np.repeat(b.column(c).to_numpy(), n) for c in names[:4]]
+        lo = np.repeat(b.column("lo").to_numpy() - (np.cumsum(n) - n), n) + np.arange(len(keys))
+        yield rows_out(names, types, [*mine, lo, lo + window, keys[:, 0], keys[:, 1]])
+
+
 def _kept(batches):
     start_task()
     for b in batches:

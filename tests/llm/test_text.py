@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, jaccard, langid, linededup, mix, substring, toxicity
+from cairn.llm.common import Scratch
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -98,6 +99,30 @@ def test_substring_hot_passage(spark, reference, salt):
     assert got == brute.substrings(docs, 50)
 
 
+class Counted(Scratch):
+    def save(self, df, name):
+        out = super().save(df, name)
+        self.rows = {**getattr(self, "rows", {}), name: out.count()}
+        return out
+
+
+def test_substring_open_windows_are_runs(spark):
+    """Around a hot passage a run of windows is a row, not each window, and only what may be shared is settled one by one."""
+    rng = __import__("random").Random(9)
+    passage = ["p%d" % k for k in range(90)]
+    docs = []
+    for i in range(240):
+        w = list(passage)
+        if i % 4 == 0:
+            w[rng.randrange(90)] = "x%d" % rng.randrange(3)
+        left = ["a%d" % (k if i % 5 == 0 else rng.randrange(10**6)) for k in range(60)]
+        docs.append((i, " ".join(left + w + ["b%d" % (rng.randrange(3) if i % 7 == 0 else rng.randrange(10**6)) for _ in range(60)])))
+    scratch = Counted(spark, "counted")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup_substrings(frame(spark, docs), reference=16, scratch=scratch).collect()}
+    assert got == brute.substrings(docs, 50)
+    assert scratch.rows["found"] < 4000 and 0 < scratch.rows["single"] < 1000
+
+
 def test_substring_repeated_ids(spark):
     w, u, v = (" ".join("%s%d" % (c, k) for k in range(60)) for c in "wuv")
     rows = [(1, w), (7, w), (7, u), (7, u), (8, u + " " + w), (9, v), (9, v), (9, v + "  "), (None, w), (None, v)]
